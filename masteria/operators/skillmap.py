@@ -60,7 +60,7 @@ def skill_pca_map(models: DataFrame, skills: DataFrame, nulls: str = "zero") ->
 
     matrix = (filled.mapInArrow(products, "product array<double>")
               .select(F.posexplode("product").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")))
-    placed = matrix.groupBy(F.lit(1)).applyInPandas(place, "k long, x double, y double")
+    placed = matrix.withColumn("map", F.lit(0)).groupBy("map").applyInPandas(place, "k long, x double, y double")
     return placed.select(F.get(skill_axis(skills, MAX_MAPPED), F.col("k").cast("int")).alias("skill_id"), "x", "y")
 
 
