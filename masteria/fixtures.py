@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masteria.operators.responses import attach_accuracy
-from masteria.operators.taxonomy import alpha_mean, primary_benchmark
+from masteria.operators.taxonomy import skill_statistics
 from masteria.sources.readers import responses_long
 
 
@@ -75,10 +75,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 def skills(spark: SparkSession, folder: str) -> DataFrame:
     """The skills that items belong to, with their statistics."""
-    source = items(spark, folder)
-    sizes = source.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_items"))
-    return (sizes.join(primary_benchmark(source), "skill_id").join(alpha_mean(source), "skill_id")
-            .select(F.col("skill_id").alias("id"), F.col("benchmark").alias("primary_benchmark"), "n_items", "alpha_mean"))
+    return skill_statistics(items(spark, folder))
 
 
 def theta_skills(spark: SparkSession, folder: str) -> DataFrame:

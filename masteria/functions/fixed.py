@@ -25,5 +25,7 @@ DELTA_FULL = 0.5
 # Models in one comparison.
 MAX_COMPARED = 3
 
-# Characters that count as white space in searches and labels.
-WHITE_SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Characters beyond ASCII that count as white space in searches and labels.
+WIDE_SPACE = ("\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000\ufeff")
+WHITE_SPACE = "\t\n\x0b\x0c\r " + WIDE_SPACE

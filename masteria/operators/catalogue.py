@@ -13,8 +13,9 @@ def _flags(skills: DataFrame) -> DataFrame:
     label, english = F.col("label"), F.col("label_english")
     shown = skills.withColumn("heading", tx.heading(label, english))
     shown = shown.withColumn("display", tx.displayed(F.col("heading")))
-    description = tx.normalized(F.col("description"))
-    same = (description == tx.normalized(label)) | (description == tx.normalized(F.col("display")))
+    # Most labels are displayed as they are and are normalized once.
+    other = F.when(F.col("display") != label, tx.normalized(F.col("display")))
+    same = tx.normalized(F.col("description")).isin(tx.normalized(label), other)
     translated = (english != "") & (label != english)
     return shown.select(
         "*",

@@ -5,13 +5,13 @@ Cells are grouped by skill, so each task sends at most one partial row per skill
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from masteria.functions.fixed import HISTOGRAM_BINS
 from masteria.functions.theta import at, under
 from masteria.plans.axis import grid_cells, ord_of, skill_vector
-from masteria.plans.joins import is_small
+from masteria.plans.joins import BROADCAST_ROWS, is_small
 
 
 def skill_means(models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:
@@ -66,15 +66,36 @@ def _over_axis(frame: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def top_models_per_skill(models: DataFrame, skills: DataFrame, k: int = 10, nulls: str = "zero") -> DataFrame:
-    """The first ``k`` models of each skill. Each task keeps ``k`` rows per skill before the shuffle."""
+    """The first ``k`` models of each skill, the earlier one in input order on ties.
+
+    Counts per skill and slice of [0, 1] tell below which slice no cell can be among the first
+    ``k``. Only the other cells are sorted, and each task keeps ``k`` of them per skill.
+    """
     cells = grid_cells(models, skills).select(
-        "model_id", "ord", "skill_id", under(F.col("theta"), nulls).alias("theta"))
-    if nulls == "skip":
-        cells = cells.where(F.col("theta").isNotNull())
+        "model_id", "ord", "k", "skill_id", under(F.col("theta"), nulls).alias("theta"))
+    cells = cells.where(F.col("theta").isNotNull()).withColumn("slice", _slice(F.col("theta")))
+    floors = skill_vector(_over_axis(_floors(cells, k), skills), "floor")
+    rivals = cells.where(F.col("slice") >= at(floors, F.col("k")))
     order = Window.partitionBy("skill_id").orderBy(F.desc("theta"), F.asc("ord"))
-    top = (cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = (rivals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
            .select("model_id", "skill_id", F.col("rank").cast("bigint").alias("rank"), "theta"))
     names = models.select(F.col("id").cast("bigint").alias("model_id"), "name")
-    # k rows per skill of the axis; broadcast when counted to be few, else shuffled.
-    few = F.broadcast(top) if is_small(skills.select("id"), max(1, 200_000 // k)) else top
+    # k rows per skill of the axis; broadcast where they are counted to be few, else shuffled.
+    few = F.broadcast(top) if is_small(skills.select("id"), max(1, BROADCAST_ROWS // k)) else top
     return names.join(few, "model_id").select("skill_id", "rank", "model_id", "name", "theta")
+
+
+SLICES = 64
+
+
+def _slice(theta: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(theta * SLICES).cast("int")))
+
+
+def _floors(cells: DataFrame, k: int) -> DataFrame:
+    """The highest slice of each skill with at least ``k`` cells in it and above, else 0."""
+    counts = cells.groupBy("skill_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("skill_id").orderBy(F.desc("slice"))
+    reached = counts.withColumn("above", F.sum("n").over(above))
+    return reached.groupBy("skill_id").agg(
+        F.coalesce(F.max(F.when(F.col("above") >= k, F.col("slice"))), F.lit(0)).alias("floor"))

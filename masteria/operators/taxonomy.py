@@ -102,14 +102,25 @@ def alpha_mean(items: DataFrame) -> DataFrame:
     return items.groupBy("skill_id").agg(F.avg("alpha").alias("alpha_mean"))
 
 
+def _first_benchmark(n: str) -> Column:
+    """Of counts per benchmark: the largest; ties go to the earlier one in the grid, then by name."""
+    benchmark = F.col("benchmark")
+    return F.min_by(benchmark, F.struct((-F.col(n)).alias("n"), canonical_place(benchmark).alias("place"), benchmark))
+
+
 def primary_benchmark(items: DataFrame) -> DataFrame:
-    """The benchmark most of a skill's items come from; ties go to the earlier one in the grid,
-    then by name."""
+    """The benchmark most of a skill's items come from."""
     counts = items.groupBy("skill_id", "benchmark").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("skill_id").orderBy(
-        F.desc("n"), canonical_place(F.col("benchmark")), F.asc("benchmark"))
-    return (counts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1)
-            .select("skill_id", "benchmark"))
+    return counts.groupBy("skill_id").agg(_first_benchmark("n").alias("benchmark"))
+
+
+def skill_statistics(items: DataFrame) -> DataFrame:
+    """A skill table from the items: size, primary benchmark and mean discrimination, in one pass."""
+    counts = items.groupBy("skill_id", "benchmark").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("alpha").alias("alpha"))
+    return counts.groupBy(F.col("skill_id").alias("id")).agg(
+        _first_benchmark("n").alias("primary_benchmark"), F.sum("n").alias("n_items"),
+        (F.sum("alpha") / F.sum("n")).alias("alpha_mean"))
 
 
 def example_items(items: DataFrame, k: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from masteria.functions.fixed import WHITE_SPACE
 
-_SPACE = "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE)
+_SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE)
 _PLACE = ("CASE {0} WHEN 'MATH' THEN 1 WHEN 'BBH' THEN 2 WHEN 'GPQA' THEN 3 "
           "WHEN 'IFEval' THEN 4 WHEN 'MuSR' THEN 5 ELSE 6 END")
 
@@ -207,6 +207,9 @@ SELECTS: dict[str, str] = {
                           FROM (SELECT DISTINCT skill_id AS p FROM cells) LEFT JOIN items ON skill_id = p GROUP BY p""",
     "alpha_mean": "SELECT skill_id, round(avg(alpha), 9) AS alpha_mean FROM items GROUP BY skill_id",
     "primary_benchmark": "SELECT * FROM primary_bench",
+    "skill_statistics": """SELECT id, any_value(primary_benchmark) AS primary_benchmark, any_value(n_items) AS n_items,
+                                  round(avg(alpha), 9) AS alpha_mean
+                           FROM skills JOIN items ON skill_id = id GROUP BY id""",
     "example_items": """SELECT skill_id, slot, item_id, text, least(n_items, 3) AS shown, n_items
                         FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY item_id) AS slot,
                                      count(*) OVER (PARTITION BY skill_id) AS n_items FROM items) WHERE slot <= 3""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masteria import fixtures as fx
+from masteria.functions import theta as th
 from masteria.operators import catalogue as cat
 from masteria.operators import cells as ce
 from masteria.operators import compare as co
@@ -40,8 +41,7 @@ def read_models(spark, folder):
     path = new_path(spark, "models")
     write_models(fx.models(spark, folder), path, "json")
     models = rd.read_models(spark, path, lines=True)
-    means = lb.model_mean_theta(models).withColumnRenamed("model_id", "id")
-    return models.select("id", "name", "hf_id", "family", "tier", "params").join(means, "id")
+    return models.select("id", "name", "hf_id", "family", "tier", "params", th.mean(F.col("theta")).alias("mean_theta"))
 
 
 def read_skills(spark, folder):
@@ -170,6 +170,10 @@ def alpha_mean(spark, folder):
     return _round(ta.alpha_mean(fx.items(spark, folder)), 9, "alpha_mean")
 
 
+def skill_statistics(spark, folder):
+    return _round(ta.skill_statistics(fx.items(spark, folder)), 9, "alpha_mean")
+
+
 def primary_benchmark(spark, folder):
     return ta.primary_benchmark(fx.items(spark, folder))
 
@@ -386,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "items_per_skill": items_per_skill,
     "alpha_mean": alpha_mean,
     "primary_benchmark": primary_benchmark,
+    "skill_statistics": skill_statistics,
     "example_items": example_items,
     "filter_models": filter_models,
     "small_models": small_models,
