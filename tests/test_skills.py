@@ -1,0 +1,107 @@
+from pyspark.sql import functions as F
+
+from masteria.operators import catalogue as cat
+from masteria.operators import taxonomy as ta
+from tables import items, models, rows, skills
+
+
+def _flags(spark, **skill):
+    return cat.skill_catalogue(skills(spark, {"id": 0, **skill})).first()
+
+
+def test_display_of_cut_labels(spark):
+    assert _flags(spark, label="a" * 49).display == "a" * 49
+    assert _flags(spark, label="a" * 50).display == "a" * 50 + "…"
+    for end in ".!?)…":
+        assert _flags(spark, label="a" * 50 + end).display == "a" * 50 + end
+    assert _flags(spark, label="😀" * 25).display == "😀" * 25 + "…"  # 50 UTF-16 units
+    assert _flags(spark, label="😀" * 24).display == "😀" * 24
+
+
+def test_heading_and_original(spark):
+    got = _flags(spark, label="toán", label_english="maths", language="vi")
+    assert (got.heading, got.original) == ("maths", "toán")
+    assert _flags(spark, label="maths", label_english="maths").original is None
+    got = _flags(spark, label="maths", label_english="")
+    assert (got.heading, got.original) == ("", None)
+
+
+def test_repeated_description(spark):
+    assert _flags(spark, label="Linear Algebra", description="\t\n  linear\n\t ALGEBRA　﻿").desc_dup
+    assert not _flags(spark, label="linear algebra", description="linearalgebra").desc_dup
+    assert _flags(spark, label="x", label_english="y", description="Y").desc_dup
+    assert _flags(spark, label="a" * 50, description="A" * 50 + "…").desc_dup
+    assert not _flags(spark, label="a", description=None).desc_dup
+
+
+def test_clusters_and_benchmarks(spark):
+    got = cat.skill_catalogue(skills(spark, *[{"id": n, "n_items": n} for n in range(4)]))
+    assert rows(got, "id", "small", "singleton") == [
+        (0, True, False), (1, True, True), (2, True, False), (3, False, False)]
+    assert _flags(spark, primary_benchmark="ARC").bench == "Other"
+    assert _flags(spark, primary_benchmark="MuSR").bench == "MuSR"
+
+
+def test_quality(spark):
+    got = cat.catalogue_quality(skills(
+        spark, {"id": 0, "label": "a" * 50, "description": "b"}, {"id": 1, "label": "c", "description": " C"},
+        {"id": 2, "n_items": 2, "language": "vi"}, {"id": 3, "primary_benchmark": "ARC"}))
+    assert rows(got) == [("MATH", 3, 1, 1, 1, 1), ("Other", 1, 0, 0, 0, 0)]
+
+
+def _grouped(spark):
+    """Two unknown benchmarks; MuSR comes before IFEval in the input but not in the grid."""
+    names = ["ZZZ", "MuSR", "IFEval", "MATH", "AAA", "ZZZ", "MATH"]
+    return skills(spark, *[{"id": i, "primary_benchmark": b, "n_items": [4, 1, 1, 2, 1, 9, 2][i]}
+                           for i, b in enumerate(names)])
+
+
+def test_benchmark_order(spark):
+    got = ta.benchmark_order(_grouped(spark).repartition(3))
+    assert rows(got, "ord", "primary_benchmark") == [(1, "MATH"), (2, "IFEval"), (3, "MuSR"), (4, "ZZZ"), (5, "AAA")]
+    assert rows(ta.skills_per_benchmark(_grouped(spark)), "ord", "n_skills") == [(1, 2), (2, 1), (3, 1), (4, 2), (5, 1)]
+
+
+def test_grid(spark):
+    grid = ta.grid_order(_grouped(spark).repartition(3))
+    assert [s for _, s in rows(grid, "pos", "skill_id")] == [3, 6, 2, 1, 0, 5, 4]
+    assert rows(ta.group_starts(_grouped(spark)), "start_pos", "benchmark", "first_skill_id") == [
+        (0, "MATH", 3), (2, "IFEval", 2), (3, "MuSR", 1), (4, "ZZZ", 0), (6, "AAA", 4)]
+    runs = rows(ta.sector_runs(grid), "run", "benchmark", "start_pos", "end_pos")
+    assert runs == [(1, "MATH", 0, 1), (2, "IFEval", 2, 2), (3, "MuSR", 3, 3), (4, "ZZZ", 4, 5), (5, "AAA", 6, 6)]
+
+
+def test_runs_of_a_repeated_benchmark(spark):
+    ordered = spark.createDataFrame([(0, "A"), (1, "A"), (2, "B"), (3, "A")], "pos long, benchmark string")
+    assert rows(ta.sector_runs(ordered)) == [(1, "A", 0, 1, 0.5), (2, "B", 2, 2, 0.25), (3, "A", 3, 3, 0.25)]
+
+
+def test_by_size_is_stable(spark):
+    got = rows(ta.skills_by_size(_grouped(spark)), "benchmark", "rank", "skill_id")
+    assert [g for g in got if g[0] in ("MATH", "ZZZ")] == [("MATH", 1, 3), ("MATH", 2, 6), ("ZZZ", 1, 5), ("ZZZ", 2, 0)]
+
+
+def test_skill_search(spark):
+    table = skills(spark, {"id": 0, "label": "50% off"}, {"id": 1, "label": "x", "label_english": "OFFside"},
+                   {"id": 2, "label": "off", "label_english": "on"})
+    assert rows(ta.filter_skills(table, " Off"), "id") == [(0,), (1,)]
+    assert rows(ta.filter_skills(table, "%"), "id") == [(0,)]
+    assert rows(ta.skill_match_total(table, "")) == [(3,)]
+
+
+def _items(spark):
+    return items(
+        spark, (3, 0, "BBH", "c", 1.0, 0.0), (1, 0, "MATH", "a", 2.0, 0.0), (2, 0, "BBH", "b", 3.0, 0.0),
+        (4, 0, "MATH", "d", 2.0, 0.0), (9, 1, "ZZZ", "z", 1.0, 0.0), (8, 1, "ARC", "y", 2.0, 0.0))
+
+
+def test_item_statistics(spark):
+    table = _items(spark)
+    axis = skills(spark, {"id": 0}, {"id": 1}, {"id": 2})
+    assert rows(ta.items_per_skill(table, axis)) == [(0, 4), (1, 2), (2, 0)]
+    assert rows(ta.alpha_mean(table)) == [(0, 2.0), (1, 1.5)]
+    assert rows(ta.primary_benchmark(table)) == [(0, "MATH"), (1, "ARC")]
+    assert rows(ta.skill_statistics(table)) == [(0, "MATH", 4, 2.0), (1, "ARC", 2, 1.5)]
+    assert rows(ta.example_items(table)) == [
+        (0, 1, 1, "a", 3, 4), (0, 2, 2, "b", 3, 4), (0, 3, 3, "c", 3, 4), (1, 1, 8, "y", 2, 2), (1, 2, 9, "z", 2, 2)]
+    assert rows(ta.catalogue_counts(models(spark, {"id": 1}), axis, table)) == [(1, 3, 6, 1)]
