@@ -28,4 +28,6 @@ MAX_COMPARED = 3
 # Characters beyond ASCII that count as white space in searches and labels.
 WIDE_SPACE = ("\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
               "\u2028\u2029\u202f\u205f\u3000\ufeff")
-WHITE_SPACE = "\t\n\x0b\x0c\r " + WIDE_SPACE
+# The same in ASCII, besides the blank.
+ASCII_SPACE = "\t\n\x0b\x0c\r"
+WHITE_SPACE = ASCII_SPACE + " " + WIDE_SPACE

@@ -2,7 +2,7 @@
 
 Each request names at most three models, so what is grouped by request is at most three theta
 arrays. The models named most often may own a large share of the requests; ``lookup_join``
-keeps those rows where they are.
+splits them.
 """
 
 from __future__ import annotations

@@ -28,12 +28,12 @@ def irt_probability(responses: DataFrame, items: DataFrame, models: DataFrame, *
     """Predicted chance of a right answer for every response; ``carry`` names columns to keep.
 
     theta is read off the model's array, which joins once per response by model: cells are not
-    exploded. Responses of models or items that own a large share are not shuffled.
+    exploded. Models and items that own a large share of the responses are split over tasks.
     """
     with_item = lookup_join(responses, items.select("item_id", "skill_id", "benchmark", "alpha", "beta"),
                             "item_id", rows=rows)
     arrays = models.select(F.col("id").cast("bigint").alias("model_id"), "theta")
-    joined = lookup_join(with_item, arrays, "model_id", rows=rows)
+    joined = lookup_join(with_item, arrays, "model_id", rows=rows, counted=responses)
     theta = th.under(th.at("theta", F.col("skill_id")), nulls)
     p = 1 / (1 + F.exp(-F.col("alpha") * (theta - F.col("beta"))))
     return joined.select("model_id", "item_id", "correct", p.alias("p"), *carry)

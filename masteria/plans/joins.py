@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
-# A key is hot when it owns more than one row in HOT_KEYS, so there are fewer hot keys than this.
-HOT_KEYS = 1_000
+# Parts that the rows are thought of as divided into. A key that owns more than one part is hot
+# and is split into as many pieces, so there are fewer hot keys than parts and at most twice as
+# many pieces.
+PARTS = 1_000
 
 
 def _row_bytes(frame: DataFrame) -> Column | None:
@@ -40,23 +42,27 @@ def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner",
-                rows: int = BROADCAST_ROWS) -> DataFrame:
+                rows: int = BROADCAST_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Join ``facts`` to ``dim``, which holds each key at most once.
 
-    A dim measured to be small is broadcast. Otherwise rows of hot keys, and rows without a
-    key, are joined where they are against the few hot dim rows; only the remaining rows are
-    shuffled. No row is dropped or capped on either way.
+    A dim measured to be small is broadcast. Otherwise both sides are shuffled, and the rows of
+    a hot key, as well as rows without a key, are spread over several tasks by a hash of the
+    whole row; only the dim rows of hot keys are repeated. No row is dropped or capped.
+
+    ``counted`` may name a frame with the same shares of keys that is cheaper to count.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
     if is_small(dim, rows):
         return facts.join(F.broadcast(dim), key, how)
-    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    source = facts if counted is None else counted
+    counts = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("n")).scalar()
-    hot = counts.where(F.col("_n") * HOT_KEYS > total).select(key)  # fewer than HOT_KEYS rows
-    flagged = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    stays = F.col("_hot").isNotNull() | F.col(key).isNull()
-    hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
-    near = flagged.where(stays).drop("_hot").join(F.broadcast(hot_dim), key, how)
-    far = flagged.where(~stays).drop("_hot").join(dim, key, how)
-    return near.unionByName(far)
+    hot = F.broadcast(counts.where(F.col("_n") * PARTS > total)  # fewer than PARTS rows
+                      .select(key, F.ceil(F.col("_n") * PARTS / total).cast("int").alias("_pieces")))
+    pieces = F.when(F.col(key).isNull(), F.lit(PARTS)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    spread = (facts.join(hot, key, "left")
+              .withColumn("_piece", F.pmod(F.xxhash64(*facts.columns), pieces).cast("int")))
+    repeated = (dim.where(F.col(key).isNotNull()).join(hot, key, "left")
+                .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))))
+    return spread.drop("_pieces").join(repeated.drop("_pieces"), [key, "_piece"], how).drop("_piece")
