@@ -46,7 +46,7 @@ def contains(text: Column, search: str | None) -> Column:
 
 
 def clean_search(search: str | None) -> str:
-    return (search or "").strip().lower()
+    return (search or "").strip(WHITE_SPACE).lower()
 
 
 def hub_repository(hf_id: Column) -> Column:

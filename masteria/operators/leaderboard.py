@@ -129,16 +129,17 @@ def display_rank(models: DataFrame, key: str = "mean", dir: str | None = None, s
     return _ranked(kept, key, dir, skill_id, nulls).select("model_id", "rank")
 
 
-def top_models(models: DataFrame, n: int = 12, nulls: str = "zero") -> DataFrame:
-    """The ``n`` models with the highest mean, by a top-k heap per task."""
+def top_models(models: DataFrame, n: int = 12, nulls: str = "zero", carry: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` models with the highest mean, by a top-k heap per task. ``carry`` names further
+    columns to keep."""
     accuracy = F.col("accuracy") if "accuracy" in models.columns else F.lit(None).cast("double")
     rows = models.select(
         F.col("id").cast("bigint").alias("id"), ord_of(models).alias("ord"), "name", "family", "tier",
-        "params", accuracy.alias("accuracy"), th.mean(F.col("theta"), nulls).alias("mean_theta"))
+        "params", accuracy.alias("accuracy"), th.mean(F.col("theta"), nulls).alias("mean_theta"), *carry)
     best = rows.orderBy(F.desc("mean_theta"), F.asc("ord")).limit(n)
     place = Window.orderBy(F.desc("mean_theta"), F.asc("ord"))  # over n rows
     return best.select(F.row_number().over(place).cast("bigint").alias("rank"), "id", "name", "family",
-                       "tier", "params", "accuracy", "mean_theta")
+                       "tier", "params", "accuracy", "mean_theta", *carry)
 
 
 def leaderboard_grid(models: DataFrame, skill_ids: Sequence[int], key: str = "mean", dir: str | None = None,

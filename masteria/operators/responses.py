@@ -23,12 +23,18 @@ def accuracy_summary(responses: DataFrame) -> DataFrame:
         F.max("accuracy").alias("max"), F.avg("accuracy").alias("mean"))
 
 
-def attach_accuracy(models: DataFrame, responses: DataFrame, respondents: DataFrame) -> DataFrame:
+def attach_accuracy(models: DataFrame, responses: DataFrame, respondents: DataFrame,
+                    few: bool = False) -> DataFrame:
     """Models with their accuracy, found by hub id; null where there are no responses.
 
     Both sides hold one row per model. Models without a hub id get a key of their own, so that
-    they do not all meet in one task.
+    they do not all meet in one task. ``few`` says that the models come from a limit: only
+    their responses then leave the scan.
     """
+    if few:
+        listed = respondents.join(F.broadcast(models.select("hf_id")), "hf_id", "left_semi")
+        wanted = listed.select(F.col("pos").alias("model_id"))
+        responses = responses.join(F.broadcast(wanted), "model_id", "left_semi")
     scores = (model_accuracy(responses).join(respondents.select(F.col("pos").alias("model_id"), "hf_id"), "model_id")
               .where(F.col("hf_id").isNotNull()).select(F.col("hf_id").alias("_key"), "accuracy"))
     alone = F.concat(F.lit("\u0000"), F.col("id").cast("string"))

@@ -231,7 +231,9 @@ def display_rank(spark, folder):
 
 
 def top_models(spark, folder):
-    return lb.top_models(fx.scored_models(spark, folder))
+    best = lb.top_models(fx.models(spark, folder), carry=["hf_id"])
+    scored = re.attach_accuracy(best, fx.responses(spark, folder), fx.respondents(spark, folder), few=True)
+    return scored.drop("hf_id")
 
 
 def leaderboard_grid(spark, folder):

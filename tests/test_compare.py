@@ -102,6 +102,8 @@ def test_attach_accuracy(spark):
     table = models(spark, {"id": 10, "hf_id": "b"}, {"id": 11, "hf_id": None}, {"id": 12, "hf_id": "a"}, {"id": 13, "hf_id": "x"})
     got = re.attach_accuracy(table, _answers(spark), _listed(spark, "a", "b", None))
     assert rows(got, "id", "accuracy") == [(10, 0.3333), (11, None), (12, 0.6667), (13, None)]
+    few = re.attach_accuracy(table.where("id < 12"), _answers(spark), _listed(spark, "a", "b", None), few=True)
+    assert rows(few, "id", "accuracy") == [(10, 0.3333), (11, None)]
 
 
 def test_checks(spark):
