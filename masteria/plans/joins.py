@@ -61,8 +61,8 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     hot = F.broadcast(counts.where(F.col("_n") * PARTS > total)  # fewer than PARTS rows
                       .select(key, F.ceil(F.col("_n") * PARTS / total).cast("int").alias("_pieces")))
     pieces = F.when(F.col(key).isNull(), F.lit(PARTS)).otherwise(F.coalesce("_pieces", F.lit(1)))
-    spread = (facts.join(hot, key, "left")
-              .withColumn("_piece", F.pmod(F.xxhash64(*facts.columns), pieces).cast("int")))
+    piece = F.when(pieces > 1, F.pmod(F.xxhash64(*facts.columns), pieces)).otherwise(F.lit(0))
+    spread = facts.join(hot, key, "left").withColumn("_piece", piece.cast("int"))
     repeated = (dim.where(F.col(key).isNotNull()).join(hot, key, "left")
                 .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))))
     return spread.drop("_pieces").join(repeated.drop("_pieces"), [key, "_piece"], how).drop("_piece")

@@ -11,15 +11,19 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # local mode: one machine only
-    spark.conf.set(SETTING, folder)
-    return folder
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, the checkpoint folder of the running application is used; a folder of
+    its own is made in local mode only, where all tasks run on one machine.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
