@@ -26,7 +26,8 @@ def _key(row):
     return tuple((v is not None, v if v is not None else 0) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# The operators on texts have tests of their own.
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.TEXT_QUERIES)))
 def test_query(spark, duck, name):
     frame = entry.queries()[name](spark, FOLDER)
     columns = sorted(frame.columns)
