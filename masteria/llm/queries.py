@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from masteria.llm import byte_bpe, exact_dedup, packing, sharding, token_count
+from masteria.llm import byte_bpe, exact_dedup, packing, robust_quality, secret_scan, sharding, simhash, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,18 +30,31 @@ def op3_cost_packing(spark, folder):
                         capacity=1024, end_id=0)
 
 
+def op5_secret_ownership(spark, folder):
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.scan_secrets(_table(spark, folder, "documents"), repository, owner=F.col("source"))
+
+
+def op6_simhash(spark, folder):
+    return simhash.near_duplicates(_table(spark, folder, "documents"), within=4)
+
+
 def op7_token_counts(spark, folder):
     return token_count.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
                                     limit=4096)
 
 
+def op9_robust_quality(spark, folder):
+    return robust_quality.robust_quality(_table(spark, folder, "documents"))
+
+
 def op10_byte_bpe(spark, folder):
     return byte_bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_minimax_shards, op3_cost_packing, op7_token_counts, op10_byte_bpe)}
+    op1_exact_dedup, op2_minimax_shards, op3_cost_packing, op5_secret_ownership, op6_simhash, op7_token_counts, op9_robust_quality, op10_byte_bpe)}
 
 #: SQL over the same tables. Texts that are null count as empty.
 ORACLE: dict[str, str] = {

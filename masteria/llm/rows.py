@@ -71,3 +71,8 @@ def plan_bytes(frame: DataFrame) -> int:
     """Spark's estimate of the bytes of a frame: for files, what they have on disk."""
     size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return min(int(str(size)), 1 << 60)
+
+
+def with_few(frame: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", most: int = 20_000) -> DataFrame:
+    """Join a stored table that has a row per key: sent to all tasks if it has at most ``most`` rows, else dealt by key."""
+    return frame.join(F.broadcast(few) if few.count() <= most else few, on, how)
