@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masteria.llm import byte_bpe, exact_dedup, packing, robust_quality, secret_scan, sharding, simhash, token_count
+from masteria.llm import byte_bpe, chat, exact_dedup, fixity, packing, robust_quality, secret_scan, sharding, simhash, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,14 @@ def op3_cost_packing(spark, folder):
                         capacity=1024, end_id=0)
 
 
+def op4_merkle_fixity(spark, folder):
+    """The replica is a copy in which pages that break off after their footer have a damaged last tag."""
+    pages = _table(spark, folder, "pages")
+    html = F.coalesce("html", F.lit(""))
+    damaged = F.when(html.endswith("</footer>"), F.regexp_replace(html, "</footer>$", "</f00ter>")).otherwise(html)
+    return fixity.audit(fixity.record_hashes(pages, html), fixity.record_hashes(pages, damaged))
+
+
 def op5_secret_ownership(spark, folder):
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     return secret_scan.scan_secrets(_table(spark, folder, "documents"), repository, owner=F.col("source"))
@@ -44,6 +52,14 @@ def op7_token_counts(spark, folder):
                                     limit=4096)
 
 
+def op8_prefix_tree(spark, folder):
+    """All conversations, and one whose texts hold control strings."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.prefix_packs(rows.unionByName(own)))
+
+
 def op9_robust_quality(spark, folder):
     return robust_quality.robust_quality(_table(spark, folder, "documents"))
 
@@ -54,7 +70,8 @@ def op10_byte_bpe(spark, folder):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_minimax_shards, op3_cost_packing, op5_secret_ownership, op6_simhash, op7_token_counts, op9_robust_quality, op10_byte_bpe)}
+    op1_exact_dedup, op2_minimax_shards, op3_cost_packing, op4_merkle_fixity, op5_secret_ownership, op6_simhash,
+    op7_token_counts, op8_prefix_tree, op9_robust_quality, op10_byte_bpe)}
 
 #: SQL over the same tables. Texts that are null count as empty.
 ORACLE: dict[str, str] = {
@@ -64,4 +81,27 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM t""",
+    "op4_merkle_fixity": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS n FROM pages),
+             d AS (SELECT *, regexp_replace(html, '</footer>$', '</f00ter>') AS other,
+                          'WARC/1.0' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || url || n
+                          || 'Content-Length: ' || strlen(html) || n || n AS head FROM p),
+             r AS (SELECT page_id, head || html || n || n AS ours, head || other || n || n AS theirs FROM d),
+             o AS (SELECT *, 'pages-' || (page_id // 1024) AS archive,
+                          sum(strlen(ours)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id) - strlen(ours) AS place FROM r)
+        SELECT archive, CAST(place AS BIGINT) AS "offset", page_id AS record_id, sha256(ours) AS primary_sha256,
+               sha256(theirs) AS replica_sha256, 'corrupt' AS state
+        FROM o WHERE ours <> theirs""",
+    "op8_prefix_tree": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+                   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'),
+                       '(<\|turn\|>|<\|end\|>|<\|endoftext\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\1_', 'g')) AS n FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(8 + length(role) + 1 + n + 8)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
