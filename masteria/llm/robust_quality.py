@@ -16,15 +16,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from masteria.llm.rows import as_batches, columns_of, ddl, with_few
+from masteria.llm.rows import as_batches, columns_of, ddl, fresh, with_few
 from masteria.plans.storage import stored
 
 WINDOW = 8
@@ -176,14 +177,14 @@ def _concentrate(support: float):
     return step
 
 
-def distance() -> Column:
+def distance(x: Callable[[str], Column] = F.col, centre: str = "centre", precision: str = "precision") -> Column:
     """The squared Mahalanobis distance of ``x0, x1, ...`` by the columns of a model."""
-    off = [F.col(c) / F.lit(float(UNIT)) - F.col("centre")[k] for k, c in enumerate(X)]
-    return sum((F.col("precision")[at] * off[i] * off[j] * (1.0 if i == j else 2.0)
+    off = [x(c) / F.lit(float(UNIT)) - F.col(centre)[k] for k, c in enumerate(X)]
+    return sum((F.col(precision)[at] * off[i] * off[j] * (1.0 if i == j else 2.0)
                 for at, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+def text_statistics(docs: DataFrame, doc_id: str | None = "doc_id", text: str = "text", lang: str = "lang",
                     source: str = "source") -> DataFrame:
     """Statistics and coordinates of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return as_batches(((i, a, b, *(s := statistics(t))[:5], *s[5]) for i, t, a, b in rows), _STATS)
 
     word = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return (docs.select(F.col(doc_id).alias("doc_id"), word.alias("text"),
+    return (docs.select((F.lit(None) if doc_id is None else F.col(doc_id)).cast("long").alias("doc_id"), word.alias("text"),
                         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"))))
             .mapInArrow(run, ddl(_STATS)))
 
@@ -225,26 +226,54 @@ def estimates(grouped: DataFrame, support: float = 0.75) -> DataFrame:
     return model
 
 
+def model_of(stats: DataFrame, support: float, least: int) -> DataFrame:
+    """Centre and precision for every ``lang, source``; null where no text of its group counts."""
+    groups = stored(groups_of(stats, least), "groups")
+    counting = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("lang", "source", *X)
+    grouped = stored(with_few(counting, groups, ["lang", "source"]).select("group", *X), "grouped")
+    return stored(with_few(groups, estimates(grouped, support), "group", "left")
+                  .select("lang", "source", "centre", "precision"), "models")
+
+
 def robust_quality(docs: DataFrame, support: float = 0.75, accepted: float = 0.99999, doc_id: str = "doc_id",
                    text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_TEXTS) -> DataFrame:
     """Statistics of every text, ``base_failed``, and ``kept``: whether it also is no outlier of its group.
 
-    One row per input row. A null text has no words, so the base rule rejects it; a null language or source is a
-    group of its own. Repeated rows count as often as they occur. Null ids stay null. With an empty table, or one
-    whose texts all fail the base rule, nothing is estimated and nothing is kept. Other columns are not read.
+    One row per input row. A null text has no words, so the base rule rejects it; a null language or source
+    counts as an empty name. Repeated rows count as often as they occur. Null ids stay null. With an empty table, or
+    one whose texts all fail the base rule, nothing is estimated and nothing is kept. Other columns are not read.
     ``accepted``: the share of normally distributed texts that would be kept; ``least``: texts of a group that
     is estimated by itself.
     """
     stats = stored(text_statistics(docs, doc_id, text, lang, source), "stats")
-    grouped = stored(_in_groups(stats, least), "grouped")
-    model = estimates(grouped.where(~F.col("base_failed")), support)
-    near = F.coalesce(distance() <= chi_square_quantile(accepted, P), F.lit(False))
-    return (with_few(grouped, model, "group", "left")
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & near).alias("kept"), distance().alias("distance")))
-
-
-def _in_groups(stats: DataFrame, least: int) -> DataFrame:
-    groups = stored(groups_of(stats, least), "groups")
-    return (with_few(stats, groups, ["lang", "source"])
-            .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return (with_few(stats, model_of(stats, support, least), ["lang", "source"])
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    failed.alias("base_failed"), (~failed & _near(distance(), accepted)).alias("kept"),
+                    distance().alias("distance")))
+
+
+def _near(squared: Column, accepted: float) -> Column:
+    return F.coalesce(squared <= chi_square_quantile(accepted, P), F.lit(False))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_repeat_words", *X)]))
+def _of_texts(texts: pd.Series) -> pd.DataFrame:
+    rows = [(s[0], s[4], *s[5]) for s in map(statistics, texts)]
+    return pd.DataFrame(rows, columns=["n_words", "n_repeat_words", *X], dtype="int64")
+
+
+def without_outliers(docs: DataFrame, support: float = 0.75, accepted: float = 0.99999, text: str = "text",
+                     lang: str = "lang", source: str = "source", least: int = LEAST_TEXTS) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``robust_quality`` keeps. Texts are read twice, but not shuffled."""
+    stats = stored(text_statistics(docs, None, text, lang, source).drop("doc_id"), "stats")
+    names = {c: fresh(f"model_{c}", docs) for c in ("lang", "source", "centre", "precision", "stats")}
+    models = model_of(stats, support, least)
+    models = stored(models.select(*(F.col(c).alias(names[c]) for c in models.columns)), "models")
+    of = F.col(names["stats"])
+    failed = base_failed(of["n_words"], of["n_repeat_words"])
+    near = _near(distance(lambda c: of[c], names["centre"], names["precision"]), accepted)
+    keyed = docs.withColumns({names[k]: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("lang", lang), ("source", source))})
+    return (with_few(keyed, models, [names["lang"], names["source"]])
+            .withColumn(names["stats"], _of_texts(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+            .where(~failed & near).select(*(F.col(f"`{c}`") for c in docs.columns)))

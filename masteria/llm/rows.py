@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 FLUSH_ROWS = 4096
 
 
-def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns ``doc_id`` (long) and ``text``; other columns are not read, a null text is empty."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """The columns ``doc_id`` (long) and ``text``; other columns are not read, a null text is empty.
+
+    With the name of a column that numbers the rows, the columns are ``number``, ``rank`` (the id) and ``text``.
+    """
+    columns = [F.col(doc_id).cast("long").alias("doc_id" if row is None else "rank"),
+               F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")]
+    return docs.select(*columns) if row is None else docs.select(F.col(row).alias("number"), *columns)
 
 
 def columns_of(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -67,12 +71,14 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_kind(f.type)}" for f in schema)
 
 
-def plan_bytes(frame: DataFrame) -> int:
-    """Spark's estimate of the bytes of a frame: for files, what they have on disk."""
-    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
-
-
 def with_few(frame: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", most: int = 20_000) -> DataFrame:
     """Join a stored table that has a row per key: sent to all tasks if it has at most ``most`` rows, else dealt by key."""
     return frame.join(F.broadcast(few) if few.count() <= most else few, on, how)
+
+
+def fresh(name: str, frame: DataFrame) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

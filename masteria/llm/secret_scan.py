@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from masteria.llm.rows import map_rows
+from masteria.llm.rows import fresh, map_rows
 from masteria.plans.storage import stored
 
 KINDS = ("assign", "access", "hex", "mixed")
@@ -125,3 +125,49 @@ def scan_secrets(docs: DataFrame, repository: Column, owner: Column, widely: int
     without = (scan.where(F.size("found") == 0)
                .withColumns({"spans": F.lit(""), **{c: F.lit(0).cast("long") for c in ("n_mixed", "n_examples", "n_live")}}))
     return without.select(*columns).unionByName(with_some)
+
+
+REDACTED = "[SECRET]"
+_SPANS = pa.schema([("row", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+def _merged(rows) -> Iterator[tuple]:
+    """Spans of a row without overlaps."""
+    for row, spans in rows:
+        out: list[dict] = []
+        for span in sorted(spans, key=lambda s: (s["start"], s["end"])):
+            if out and span["start"] < out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], span["end"])
+            else:
+                out.append(dict(span))
+        yield row, out
+
+
+def _end_before(spans: Column, i: Column) -> Column:
+    return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(spans, i - 1)["end"])
+
+
+def redacted(docs: DataFrame, repository: Column, owner: Column, widely: int = WIDELY, text: str = "text",
+             length: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with secrets in texts replaced by ``REDACTED``.
+
+    Values that are widely copied examples stay. ``length`` names a column with the text's code points; it follows
+    the new text.
+    """
+    row, spans = fresh("row", docs), fresh("secret_spans", docs)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    scan = scanned(rows, repository, owner, row, text, row)
+    secret = judged(scan, stored(ownership(scan, widely), "owners")).where(~F.col("example"))
+    found = secret.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = stored(map_rows(found, _merged, _SPANS).select(F.col("row").alias(row), F.col("spans").alias(spans)), "spans")
+    joined = rows.join(found, row, "left")
+    s, word = F.col(spans), F.col(text)
+    before = F.transform(s, lambda x, i: F.concat(
+        F.substring(word, (_end_before(s, i) + 1).cast("int"), (x["start"] - _end_before(s, i)).cast("int")),
+        F.lit(REDACTED)))
+    rest = F.substring(word, (F.element_at(s, -1)["end"] + 1).cast("int"), F.char_length(word))
+    changed = {text: F.when(s.isNull(), word).otherwise(F.concat(F.array_join(before, ""), rest))}
+    if length in docs.columns:
+        kind = dict(docs.dtypes)[length]
+        changed[length] = F.when(s.isNull(), F.col(length)).otherwise(F.char_length(changed[text]).cast(kind))
+    return joined.withColumns(changed).select(*(F.col(f"`{c}`") for c in docs.columns))

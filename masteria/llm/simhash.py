@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from masteria.llm.graph import stars
-from masteria.llm.rows import ddl, map_rows, texts_of
+from masteria.llm.rows import ddl, fresh, map_rows, texts_of
 from masteria.plans.storage import stored
 
 WORDS = 4
@@ -40,7 +40,7 @@ BUCKET = 16_384
 #: Rows that a task searches at a time.
 ROWS = 1 << 17
 
-_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINT = pa.schema([("number", pa.int64()), ("rank", pa.int64()), ("fp", pa.int64())])
 #: A link has a and b; a row with a key is a fingerprint of a bucket that is too large.
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
@@ -64,9 +64,9 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def _prints(rows) -> Iterator[tuple]:
-    for row_id, text in rows:
+    for number, rank, text in rows:
         fp = fingerprint(text)
-        yield row_id, fp - (1 << 64) if fp >> 63 else fp
+        yield number, rank, fp - (1 << 64) if fp >> 63 else fp
 
 
 def pivot_table(prints: np.ndarray) -> np.ndarray:
@@ -203,6 +203,24 @@ def _searched(keyed: DataFrame, within: int, bucket: int | None) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search(within, bucket), ddl(_FOUND))
 
 
+def near_groups(rows: DataFrame, within: int = 4) -> DataFrame:
+    """The component of every row of ``rows(number, rank, text)``: ``number, rank, fp, first``.
+
+    ``first`` is the component's row of the smallest rank, then number, as a struct; null ranks come last.
+    """
+    prints = stored(map_rows(rows, _prints, _PRINT), "prints")
+    first = F.min(F.struct(F.col("rank").isNull().alias("unnamed"), "rank", "number")).alias("first")
+    distinct = stored(prints.groupBy("fp").agg(first), "distinct")
+    roots = stars(links(distinct.select("fp"), within))
+    member = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    labelled = stored(distinct.join(member, "fp", "left"), "labelled")
+    linked = F.col("root").isNotNull()
+    smallest = stored(labelled.where(linked).groupBy("root").agg(F.min("first").alias("first")), "components")
+    reached = (labelled.where(~linked).select("fp", "first")
+               .unionByName(labelled.where(linked).select("fp", "root").join(smallest, "root").select("fp", "first")))
+    return prints.join(reached, "fp")
+
+
 def near_duplicates(docs: DataFrame, within: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The fingerprint of every row and the smallest id that links reach from it: ``doc_id, fingerprint, component_id``.
 
@@ -210,12 +228,16 @@ def near_duplicates(docs: DataFrame, within: int = 4, doc_id: str = "doc_id", te
     same id are kept apart. Rows without an id take part; where no row of a component has an id, its
     ``component_id`` is null. An empty table gives no rows; other columns are not read.
     """
-    prints = stored(map_rows(texts_of(docs, doc_id, text), _prints, _PRINT), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = stored(stars(links(distinct, within)), "roots")
-    labelled = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                      .select("fp", "first", F.coalesce("root", "fp").alias("root")), "labelled")
-    smallest = stored(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    reached = stored(labelled.join(smallest, "root").select("fp", "component_id"), "reached")
-    return (prints.join(reached, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    rows = texts_of(docs, doc_id, text).select(F.lit(None).cast("long").alias("number"), F.col("doc_id").alias("rank"), "text")
+    return near_groups(rows, within).select(
+        F.col("rank").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.rank").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, within: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which each component keeps exactly one: a row of its smallest id."""
+    row = fresh("row", docs)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_groups(texts_of(rows, doc_id, text, row), within)
+    kept = groups.where("number = first.number").select(F.col("number").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
