@@ -104,10 +104,12 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def catalogue_with_examples(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalogue entries with nested example items: the paragraphs of the document."""
-    texts = F.split("label", "\n")
+    """Catalogue entries with nested example items: the paragraphs of the document, with ids that fall
+    along the list; Spanish ones have an empty list."""
+    spanish = F.coalesce(F.col("language"), F.lit("")) == "es"
+    texts = F.when(spanish, F.array().cast("array<string>")).otherwise(F.split("label", "\n"))
     examples = F.transform(texts, lambda t, i: F.struct(
-        i.cast("bigint").alias("item_idx"), F.col("primary_benchmark").alias("benchmark"),
+        (F.size(F.split("label", "\n")) - i).cast("bigint").alias("item_idx"), F.col("primary_benchmark").alias("benchmark"),
         F.lit(None).cast("string").alias("subtask"), F.lit(None).cast("string").alias("primary_skill"),
         t.alias("text")))
     return catalogue(spark, folder).withColumn("example_items", examples)
@@ -133,6 +135,15 @@ def dense_responses(spark: SparkSession, folder: str) -> DataFrame:
     return responses_long(answer_matrix(spark, folder))
 
 
+def placed_models(spark: SparkSession, folder: str) -> DataFrame:
+    """The models with ids that are not their positions; ``answer_matrix`` has their responses."""
+    return models(spark, folder).withColumns({"ord": F.col("id"), "id": F.col("id") * 3 + 7})
+
+
+def placed_respondents(spark: SparkSession, folder: str) -> DataFrame:
+    return placed_models(spark, folder).select(F.col("ord").alias("pos"), "hf_id")
+
+
 def map_points(spark: SparkSession, folder: str) -> DataFrame:
     """Points on a plane, one per embedding; most belong to no skill."""
     return table(spark, folder, "embeddings").select(

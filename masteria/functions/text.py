@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from masteria.functions.fixed import ASCII_SPACE, LABEL_CUT, LABEL_ENDINGS, MAX_COMPARED, WHITE_SPACE, WIDE_SPACE
+from masteria.functions.theta import let
 
 
 def normalized(text: Column) -> Column:
@@ -14,12 +15,14 @@ def normalized(text: Column) -> Column:
     White space is turned into blanks by plain replacements, the rarer kinds only in texts that
     are not ASCII throughout. Few texts then need the regular expression, which is the slow part.
     """
+    def single(blanks: Column) -> Column:
+        return F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, "  +", " ")).otherwise(blanks)
+
     ascii_only = F.octet_length(text) == F.length(text)
     blanks = F.when(ascii_only, text).otherwise(F.translate(text, WIDE_SPACE, " " * len(WIDE_SPACE)))
     for space in ASCII_SPACE:
         blanks = F.replace(blanks, F.lit(space), F.lit(" "))
-    single = F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, "  +", " ")).otherwise(blanks)
-    return F.lower(F.trim(single))
+    return F.lower(F.trim(let(blanks, single)))
 
 
 def heading(label: Column, label_english: Column) -> Column:

@@ -1,7 +1,7 @@
 """Expressions over mastery values, single or held in an array.
 
 A missing value counts as 0 under ``nulls="zero"``, the default; ``nulls="skip"`` leaves it
-out of sums, counts and rankings.
+out of sums, counts and rankings. A value that is no number is missing.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from masteria.functions.fixed import SPARKLINE_BUCKETS
 
 
+def number(theta) -> Column:
+    return F.nanvl(theta, F.lit(None).cast("double"))
+
+
 def zero(theta) -> Column:
-    return F.coalesce(theta, F.lit(0.0))
+    return F.coalesce(number(theta), F.lit(0.0))
 
 
 def under(theta, nulls: str = "zero") -> Column:
@@ -23,7 +27,7 @@ def under(theta, nulls: str = "zero") -> Column:
     if nulls == "zero":
         return zero(theta)
     if nulls == "skip":
-        return theta
+        return number(theta)
     raise ValueError(f"nulls must be 'zero' or 'skip', not {nulls!r}")
 
 
@@ -44,13 +48,13 @@ def let(value, body: Callable[[Column], Column]) -> Column:
 
 def mean(theta, nulls: str = "zero") -> Column:
     """Mean over the array's own length; an empty array gives 0."""
-    values = theta if nulls == "zero" else F.filter(theta, lambda v: v.isNotNull())
+    values = theta if nulls == "zero" else F.filter(theta, lambda v: number(v).isNotNull())
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + under(zero(v), nulls))
     return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
 
 
 def descending(theta, nulls: str = "zero") -> Column:
-    values = F.filter(theta, lambda v: v.isNotNull()) if nulls == "skip" else F.transform(theta, zero)
+    values = F.filter(theta, lambda v: number(v).isNotNull()) if nulls == "skip" else F.transform(theta, zero)
     return F.sort_array(values, asc=False)
 
 
@@ -64,4 +68,4 @@ def bucket_mean(ordered, bucket, buckets: int = SPARKLINE_BUCKETS) -> Column:
 
 
 def without_nan(theta) -> Column:
-    return F.transform(theta, lambda v: F.when(~F.isnan(v), v))
+    return F.transform(theta, number)

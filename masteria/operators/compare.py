@@ -1,7 +1,7 @@
 """Head-to-head comparison, for a whole table of requests at once.
 
-Each request names at most three models, so what is grouped by request is at most three theta
-arrays. The models named most often may own a large share of the requests; ``lookup_join``
+What is grouped by request are the theta arrays of its models, at most three where the request was
+read by ``resolve_selections``; skills are compared inside that row. The models named most often may own a large share of the requests; ``lookup_join``
 splits them.
 """
 
@@ -18,60 +18,67 @@ from masteria.plans.axis import ord_of, skill_axis, skill_vector
 from masteria.plans.joins import lookup_join
 
 
-def resolve_selections(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """Requested ids to (request_id, slot, model_id). The list is cut to three before unknown
+def resolve_selections(requests: DataFrame, models: DataFrame, at_most: int = MAX_COMPARED) -> DataFrame:
+    """Requested ids to (request_id, slot, model_id). The list is cut to ``at_most`` before unknown
     ids are dropped; order and duplicates stay, and slots are numbered from 0 without gaps."""
-    asked = (requests.select("request_id", F.posexplode(requested_ids(F.col("m"))).alias("place", "model_id"))
+    asked = (requests.select("request_id", F.posexplode(requested_ids(F.col("m"), at_most)).alias("place", "model_id"))
              .where(F.col("model_id").isNotNull()))
     known = lookup_join(asked, models.select(F.col("id").cast("bigint").alias("model_id")), "model_id")
     order = Window.partitionBy("request_id").orderBy("place")
     return known.select("request_id", (F.row_number().over(order) - 1).cast("bigint").alias("slot"), "model_id")
 
 
-def _compared(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str) -> DataFrame:
-    """One row per request of at least two models and skill: n, v0, v1, v2 (null past n)."""
+def _chosen(selections: DataFrame, models: DataFrame) -> DataFrame:
+    """Requests of at least two models, with the theta arrays of all their models in the order of the slots."""
     arrays = models.select(F.col("id").cast("bigint").alias("model_id"), "theta")
-    profiles = (lookup_join(selections, arrays, "model_id").groupBy("request_id")
-                .agg(F.array_sort(F.collect_list(F.struct("slot", "theta"))).alias("chosen"))
-                .where(F.size("chosen") >= 2))
-    rows = profiles.select("request_id", "chosen", F.posexplode(skill_axis(skills)).alias("k", "skill_id"))
+    return (lookup_join(selections, arrays, "model_id").groupBy("request_id")
+            .agg(F.array_sort(F.collect_list(F.struct("slot", "theta"))).alias("chosen"))
+            .where(F.size("chosen") >= 2))
 
-    def value(slot: int) -> Column:
-        cell = th.at(F.get("chosen", F.lit(slot))["theta"], F.col("skill_id"))
-        return F.when(F.size("chosen") > slot, th.under(cell, nulls)).alias(f"v{slot}")
 
-    return rows.select("request_id", "k", "skill_id", *[value(s) for s in range(MAX_COMPARED)])
+def _spreads(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str) -> DataFrame:
+    """Per request an array with the lowest and highest value of each skill, in axis order."""
+    def spread(k_skill):
+        values = F.transform("chosen", lambda c: th.under(th.at(c["theta"], k_skill), nulls))
+        return th.let(values, lambda v: F.struct(
+            k_skill.alias("skill_id"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"),
+            (F.array_max(v) - F.array_min(v)).alias("spread")))
 
-
-def skill_spread(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:
-    """Lowest and highest value of each skill among the models of a request."""
-    return _spread(selections, models, skills, nulls).select("request_id", "skill_id", "lo", "hi", "spread")
+    return (_chosen(selections, models).select("request_id", "chosen", skill_axis(skills).alias("axis"))
+            .select("request_id", F.transform("axis", spread).alias("spreads")))
 
 
-def _spread(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str) -> DataFrame:
-    values = [F.col(f"v{s}") for s in range(MAX_COMPARED)]
-    return (_compared(selections, models, skills, nulls)
-            .select("request_id", "k", "skill_id", F.least(*values).alias("lo"), F.greatest(*values).alias("hi"))
-            .withColumn("spread", F.col("hi") - F.col("lo")))
+def skill_spread(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:
+    """Lowest and highest value of each skill among all models of a request, however many."""
+    rows = _spreads(selections, models, skills, nulls)
+    return rows.select("request_id", F.explode("spreads").alias("s")).select("request_id", "s.*")
 
 
 def divergent_skills(selections: DataFrame, models: DataFrame, skills: DataFrame, k: int = 10,
                      nulls: str = "zero") -> DataFrame:
-    """The ``k`` skills of each request with the widest spread, in grid order when equal. The
-    rows are already grouped by request, so the ranking adds no shuffle."""
+    """The ``k`` skills of each request with the widest spread, in grid order when equal. They
+    are ranked inside the row of the request; only ``k`` of them leave it."""
     places = skill_vector(grid_order(skills), "pos")
-    rows = _spread(selections, models, skills, nulls).withColumn("pos", F.get(places, F.col("k")))
-    order = Window.partitionBy("request_id").orderBy(F.desc("spread"), F.asc("pos"))
-    return (rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("request_id", F.col("rank").cast("bigint").alias("rank"), "skill_id", "spread"))
+    rows = _spreads(selections, models, skills, nulls).withColumn("places", places)
+    keyed = F.transform("spreads", lambda s, i: F.struct(
+        s["spread"].isNull().alias("absent"), (-s["spread"]).alias("narrow"), F.get(F.col("places"), i).alias("pos"),
+        s["skill_id"].alias("skill_id"), s["spread"].alias("spread")))
+    first = F.slice(F.array_sort(keyed), 1, k)
+    return (rows.select("request_id", F.posexplode(first).alias("place", "s"))
+            .select("request_id", (F.col("place") + 1).cast("bigint").alias("rank"), "s.skill_id", "s.spread"))
 
 
 def lead_counts(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:
     """On how many skills each of the first two models is ahead; ties count for neither."""
-    return _compared(selections, models, skills, nulls).groupBy("request_id").agg(
-        F.count_if(F.col("v0") > F.col("v1")).alias("a_wins"),
-        F.count_if(F.col("v1") > F.col("v0")).alias("b_wins"),
-        F.count(F.lit(1)).alias("n_skills"))
+    def ahead(one: int, other: int) -> Column:
+        def value(slot: int, skill: Column) -> Column:
+            return th.under(th.at(F.get("chosen", F.lit(slot))["theta"], skill), nulls)
+
+        return F.size(F.filter("axis", lambda s: value(one, s) > value(other, s))).cast("bigint")
+
+    rows = _chosen(selections, models).select("request_id", "chosen", skill_axis(skills).alias("axis"))
+    return rows.select("request_id", ahead(0, 1).alias("a_wins"), ahead(1, 0).alias("b_wins"),
+                       F.size("axis").cast("bigint").alias("n_skills"))
 
 
 def compare_suggestion(models: DataFrame, max_params: float = SMALL_MODEL_PARAMS, nulls: str = "zero") -> DataFrame:

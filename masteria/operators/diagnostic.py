@@ -25,7 +25,8 @@ def heldout_split(responses: DataFrame, mod: int = 5) -> DataFrame:
 
 def irt_probability(responses: DataFrame, items: DataFrame, models: DataFrame, *carry: str,
                     nulls: str = "zero", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Predicted chance of a right answer for every response; ``carry`` names columns to keep.
+    """Predicted chance of a right answer for every response whose item and model are known;
+    ``unmatched_responses`` counts the others. ``carry`` names columns to keep.
 
     theta is read off the model's array, which joins once per response by model: cells are not
     exploded. Models and items that own a large share of the responses are split over tasks.
@@ -39,6 +40,20 @@ def irt_probability(responses: DataFrame, items: DataFrame, models: DataFrame, *
     return joined.select("model_id", "item_id", "correct", p.alias("p"), *carry)
 
 
+def unmatched_responses(responses: DataFrame, items: DataFrame, models: DataFrame) -> DataFrame:
+    """How many responses there are, and how many name an unknown item or an unknown model."""
+    per_item = responses.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    per_model = responses.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+    known = models.select(F.col("id").cast("bigint").alias("model_id"))
+
+    def total(counts: DataFrame) -> Column:
+        return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+
+    return per_item.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
+        "n", total(per_item.join(items.select("item_id"), "item_id", "left_anti")).alias("n_without_item"),
+        total(per_model.join(known, "model_id", "left_anti")).alias("n_without_model"))
+
+
 def benchmark_prediction(predicted: DataFrame, *by: str) -> DataFrame:
     """Predicted and actual accuracy per model and benchmark, and per column of ``by``."""
     return predicted.groupBy("model_id", "benchmark", *by).agg(

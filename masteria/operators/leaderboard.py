@@ -57,12 +57,12 @@ def model_mean_theta(models: DataFrame, nulls: str = "zero") -> DataFrame:
 
 def profile_sparkline(models: DataFrame, buckets: int = SPARKLINE_BUCKETS, nulls: str = "zero") -> DataFrame:
     """Values from strongest to weakest, averaged in ``buckets`` equal buckets."""
-    ordered = models.select(F.col("id").cast("bigint").alias("model_id"),
-                            th.descending(F.col("theta"), nulls).alias("ordered"))
-    slots = ordered.select("model_id", "ordered",
-                           F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    return slots.select("model_id", F.col("bucket").cast("bigint").alias("bucket"),
-                        th.bucket_mean(F.col("ordered"), F.col("bucket"), buckets).alias("value"))
+    def profile(ordered):
+        return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: th.bucket_mean(ordered, b, buckets))
+
+    rows = models.select(F.col("id").cast("bigint").alias("model_id"),
+                         F.posexplode(th.let(th.descending(F.col("theta"), nulls), profile)).alias("bucket", "value"))
+    return rows.select("model_id", F.col("bucket").cast("bigint").alias("bucket"), "value")
 
 
 def ranked_skills(models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:

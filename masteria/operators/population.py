@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from masteria.functions.fixed import HISTOGRAM_BINS
 from masteria.functions.theta import at, under
-from masteria.plans.axis import grid_cells, ord_of, skill_vector
+from masteria.plans.axis import grid_cells, skill_vector
 from masteria.plans.joins import BROADCAST_ROWS, is_small
 
 
@@ -49,14 +49,16 @@ def best_model_per_skill(models: DataFrame, skills: DataFrame, nulls: str = "zer
     that reach them: no task sorts its cells. A value must exceed -1 to count.
     """
     cells = (grid_cells(models, skills)
-             .select("ord", "k", "skill_id", under(F.col("theta"), nulls).alias("theta"))
+             .select("model_id", "ord", "k", "skill_id", under(F.col("theta"), nulls).alias("theta"))
              .where(F.col("theta") > -1.0))
     best = cells.groupBy("skill_id").agg(F.max("theta").alias("theta"))
     peaks = skill_vector(_over_axis(best, skills), "theta")
     first = (cells.where(F.col("theta") == at(peaks, F.col("k")))
-             .groupBy("skill_id").agg(F.min("ord").alias("ord"), F.max("theta").alias("theta")))
-    names = models.select(ord_of(models).alias("ord"), F.col("id").cast("bigint").alias("model_id"), "name")
-    return names.join(F.broadcast(first), "ord").select("skill_id", "model_id", "name", "theta")
+             .groupBy("skill_id").agg(F.min(F.struct("ord", "model_id"))["model_id"].alias("model_id"),
+                                      F.max("theta").alias("theta")))
+    names = models.select(F.col("id").cast("bigint").alias("model_id"), "name")
+    few = F.broadcast(first) if is_small(skills.select("id")) else first
+    return names.join(few, "model_id").select("skill_id", "model_id", "name", "theta")
 
 
 def _over_axis(frame: DataFrame, skills: DataFrame) -> DataFrame:
@@ -79,10 +81,10 @@ def top_models_per_skill(models: DataFrame, skills: DataFrame, k: int = 10, null
     order = Window.partitionBy("skill_id").orderBy(F.desc("theta"), F.asc("ord"))
     top = (rivals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
            .select("model_id", "skill_id", F.col("rank").cast("bigint").alias("rank"), "theta"))
-    names = models.select(F.col("id").cast("bigint").alias("model_id"), "name")
+    names = models.select(F.col("id").cast("bigint").alias("model_id"), "name", "family", "tier", "params")
     # k rows per skill of the axis; broadcast where they are counted to be few, else shuffled.
     few = F.broadcast(top) if is_small(skills.select("id"), max(1, BROADCAST_ROWS // k)) else top
-    return names.join(few, "model_id").select("skill_id", "rank", "model_id", "name", "theta")
+    return names.join(few, "model_id").select("skill_id", "rank", "model_id", "name", "family", "tier", "params", "theta")
 
 
 SLICES = 64

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masteria.plans.axis import ord_of
+from masteria.plans.joins import lookup_join
+from masteria.sources.writers import write_models
 
 
 def respondent_accuracy(responses: DataFrame) -> DataFrame:
@@ -35,8 +37,12 @@ def attach_accuracy(models: DataFrame, responses: DataFrame, respondents: DataFr
         listed = respondents.join(F.broadcast(models.select("hf_id")), "hf_id", "left_semi")
         wanted = listed.select(F.col("pos").alias("model_id"))
         responses = responses.join(F.broadcast(wanted), "model_id", "left_semi")
+    # A hub id that is listed twice would give a model two accuracies; it is refused.
+    once = F.when(F.count(F.lit(1)) == 1, F.first("accuracy")).otherwise(
+        F.raise_error(F.concat(F.lit("two respondents have the hub id "), F.col("_key"))))
     scores = (model_accuracy(responses).join(respondents.select(F.col("pos").alias("model_id"), "hf_id"), "model_id")
-              .where(F.col("hf_id").isNotNull()).select(F.col("hf_id").alias("_key"), "accuracy"))
+              .where(F.col("hf_id").isNotNull()).select(F.col("hf_id").alias("_key"), "accuracy")
+              .groupBy("_key").agg(once.alias("accuracy")))
     alone = F.concat(F.lit("\u0000"), F.col("id").cast("string"))
     keyed = models.drop("accuracy").withColumn("_key", F.coalesce("hf_id", alone))
     return keyed.join(scores, "_key", "left").drop("_key")
@@ -83,3 +89,27 @@ def require(*checks: DataFrame) -> None:
         row = check.first()
         if not row.ok:
             raise ValueError(f"{row.check}: {row.detail}")
+
+
+def by_model(responses: DataFrame, models: DataFrame) -> DataFrame:
+    """Responses with the id of their model in place of the position of their respondent.
+
+    Positions are those of the model list (its ``ord``), which ``check_alignment`` compares with the
+    respondents. A position past the end of the list gives a null id.
+    """
+    places = models.select(ord_of(models).alias("model_id"), F.col("id").cast("bigint").alias("_id"))
+    return (lookup_join(responses, places, "model_id", "left")
+            .withColumn("model_id", F.col("_id")).drop("_id"))
+
+
+def enrich_models(models: DataFrame, responses: DataFrame, respondents: DataFrame, path: str,
+                  format: str = "parquet") -> DataFrame:
+    """The whole job: check, average by position, attach, write all models to ``path``, summarize.
+
+    Nothing is written unless sizes, values and hub ids agree at every position.
+    """
+    require(check_shape(responses, respondents, models), check_binary(responses), check_alignment(respondents, models))
+    scores = model_accuracy(responses).withColumnRenamed("model_id", "_pos")
+    placed = models.drop("accuracy").withColumn("_pos", ord_of(models))
+    write_models(placed.join(scores, "_pos", "left").drop("_pos"), path, format)
+    return accuracy_summary(responses)

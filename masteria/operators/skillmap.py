@@ -14,9 +14,6 @@ from masteria.functions import theta as th
 from masteria.operators.population import best_model_per_skill
 from masteria.plans.axis import skill_axis
 
-# Skills squared is what the last step holds.
-MAX_MAPPED = 2_000
-
 
 def skill_pca_map(models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:
     """Skills placed by the first two principal components of their values across all models.
@@ -27,7 +24,7 @@ def skill_pca_map(models: DataFrame, skills: DataFrame, nulls: str = "zero") ->
     """
     if nulls != "zero":
         raise ValueError("the map needs a value in every cell: nulls must be 'zero'")
-    rows = models.select("theta", skill_axis(skills, MAX_MAPPED).alias("axis"))
+    rows = models.select("theta", skill_axis(skills).alias("axis"))
     filled = rows.select(th.let(F.col("theta"), lambda t: F.transform(
         "axis", lambda s: th.zero(th.at(t, s)))).alias("row"))
 
@@ -61,7 +58,7 @@ def skill_pca_map(models: DataFrame, skills: DataFrame, nulls: str = "zero") ->
     matrix = (filled.mapInArrow(products, "product array<double>")
               .select(F.posexplode("product").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")))
     placed = matrix.withColumn("map", F.lit(0)).groupBy("map").applyInPandas(place, "k long, x double, y double")
-    return placed.select(F.get(skill_axis(skills, MAX_MAPPED), F.col("k").cast("int")).alias("skill_id"), "x", "y")
+    return placed.select(F.get(skill_axis(skills), F.col("k").cast("int")).alias("skill_id"), "x", "y")
 
 
 def described_map(points: DataFrame, skills: DataFrame, models: DataFrame, nulls: str = "zero") -> DataFrame:

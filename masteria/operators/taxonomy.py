@@ -1,8 +1,8 @@
 """Skills grouped by benchmark, and the items behind each skill.
 
-A skill table is no longer than one theta array (see ``plans.axis``), so windows over the whole
-of it are small; ``bounded`` stops the job otherwise. Items are never brought together: they
-are counted or limited per skill before anything is shuffled.
+Skills are numbered per benchmark; what is brought together in one task has one row per benchmark, or
+per run of one benchmark. Items are never brought together: they are counted or limited per skill before
+anything is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from masteria.functions.fixed import GRID_BENCHMARKS
 from masteria.functions.text import contains, heading
-from masteria.plans.axis import bounded, ord_of
+from masteria.plans.axis import ord_of
 
 
 def canonical_place(benchmark: Column) -> Column:
@@ -32,7 +32,7 @@ def _groups(skills: DataFrame) -> DataFrame:
     groups = skills.groupBy("primary_benchmark").agg(
         F.min(ord_of(skills)).alias("_first"), F.count(F.lit(1)).alias("n_skills"))
     order = Window.orderBy(canonical_place(F.col("primary_benchmark")), "_first")
-    return bounded(groups).select(
+    return groups.select(
         "primary_benchmark", F.row_number().over(order).cast("bigint").alias("ord"), "n_skills")
 
 
@@ -40,19 +40,19 @@ def skills_per_benchmark(skills: DataFrame) -> DataFrame:
     return _groups(skills).select(F.col("primary_benchmark").alias("benchmark"), "ord", "n_skills")
 
 
-def _placed(skills: DataFrame) -> DataFrame:
-    """Skills with the first appearance of their benchmark."""
-    rows = bounded(skills).select(
-        F.col("id").cast("bigint").alias("skill_id"), ord_of(skills).alias("ord"),
-        F.col("primary_benchmark").alias("benchmark"))
-    return rows.withColumn("_first", F.min("ord").over(Window.partitionBy("benchmark")))
-
-
 def grid_order(skills: DataFrame) -> DataFrame:
     """0-based position of each skill: by benchmark, then in input order."""
-    order = Window.orderBy(canonical_place(F.col("benchmark")), "_first", "ord")
-    return _placed(skills).select(
-        "skill_id", (F.row_number().over(order) - 1).cast("bigint").alias("pos"), "benchmark")
+    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _groups(skills).select(F.col("primary_benchmark").alias("benchmark"),
+                                    F.coalesce(F.sum("n_skills").over(before), F.lit(0)).alias("_start"))
+    order = Window.partitionBy("benchmark").orderBy("ord")
+    rows = skills.select(F.col("id").cast("bigint").alias("skill_id"), ord_of(skills).alias("ord"),
+                         F.col("primary_benchmark").alias("benchmark"))
+    placed = rows.withColumn("_row", F.row_number().over(order) - 1)
+    # One row per benchmark on the right side.
+    same = placed["benchmark"].eqNullSafe(starts["benchmark"])
+    return placed.join(starts, same).select(
+        "skill_id", (F.col("_start") + F.col("_row")).cast("bigint").alias("pos"), placed["benchmark"])
 
 
 def group_starts(skills: DataFrame) -> DataFrame:
@@ -60,24 +60,35 @@ def group_starts(skills: DataFrame) -> DataFrame:
         F.min("pos").alias("start_pos"), F.min_by("skill_id", "pos").alias("first_skill_id"))
 
 
+STRETCH = 1 << 16
+
+
 def sector_runs(ordered: DataFrame) -> DataFrame:
-    """Runs of one benchmark along ``pos``: both ends and the share of the whole circle."""
-    along = Window.orderBy("pos")
-    rows = bounded(ordered).select("pos", "benchmark")
-    starts = rows.withColumn("_new", F.when(
-        F.col("benchmark").eqNullSafe(F.lag("benchmark").over(along)) & (F.lag("pos").over(along).isNotNull()),
-        0).otherwise(1))
-    islands = starts.withColumn("run", F.sum("_new").over(
-        along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = islands.groupBy("run", "benchmark").agg(
-        F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("_n"))
+    """Runs of one benchmark along ``pos``: both ends and the share of the whole circle.
+
+    Runs are first found inside stretches of ``pos``; only runs, not rows, are then brought together.
+    """
+    inside = _runs(ordered.select(F.expr(f"pos div {STRETCH}").alias("stretch"), "benchmark",
+                                  F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), F.lit(1).cast("bigint").alias("_n")),
+                   "stretch")
+    runs = _runs(inside.withColumn("stretch", F.lit(0)), "stretch")
     return runs.select(F.col("run").cast("bigint").alias("run"), "benchmark", "start_pos", "end_pos",
-                       (F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))).alias("share"))
+                       (F.col("_n") / F.sum("_n").over(Window.partitionBy("stretch"))).alias("share"))
+
+
+def _runs(rows: DataFrame, part: str) -> DataFrame:
+    """Neighbours of one benchmark joined, in each part."""
+    along = Window.partitionBy(part).orderBy("start_pos")
+    same = F.col("benchmark").eqNullSafe(F.lag("benchmark").over(along)) & F.lag("start_pos").over(along).isNotNull()
+    islands = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn(
+        "run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy(part, "run", "benchmark").agg(
+        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("_n").alias("_n"))
 
 
 def skills_by_size(skills: DataFrame) -> DataFrame:
     """Skills of each benchmark, most items first, equal sizes in input order."""
-    rows = bounded(skills).select(
+    rows = skills.select(
         F.col("primary_benchmark").alias("benchmark"), F.col("id").cast("bigint").alias("skill_id"),
         ord_of(skills).alias("ord"), "n_items")
     order = Window.partitionBy("benchmark").orderBy(F.desc("n_items"), F.asc("ord"))
@@ -123,15 +134,15 @@ def skill_statistics(items: DataFrame) -> DataFrame:
         (F.sum("alpha") / F.sum("n")).alias("alpha_mean"))
 
 
-def example_items(items: DataFrame, k: int = 3) -> DataFrame:
-    """The first ``k`` items of each skill, with how many are shown of how many."""
-    sizes = items.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_items"))
-    order = Window.partitionBy("skill_id").orderBy("item_id")
-    first = (items.select("skill_id", "item_id", "text")
-             .withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= k))
-    return first.join(sizes, "skill_id").select(
-        "skill_id", F.col("slot").cast("bigint").alias("slot"), "item_id", "text",
-        F.least("n_items", F.lit(k)).cast("bigint").alias("shown"), "n_items")
+def example_items(skills: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
+    """The first ``k`` example items of each skill in the order of its list, with how many are shown of
+    the skill's ``n_items``. ``items`` are those of ``read_items``; a skill without any has one row
+    that shows none."""
+    first = items.where(F.col("slot") <= k).select("skill_id", "slot", "item_id", "text")
+    shown = Window.partitionBy("skill_id")
+    known = skills.select(F.col("id").cast("bigint").alias("skill_id"), "n_items")
+    return known.join(first, "skill_id", "left").select(
+        "skill_id", "slot", "item_id", "text", F.count("slot").over(shown).alias("shown"), "n_items")
 
 
 def catalogue_counts(models: DataFrame, skills: DataFrame, items: DataFrame) -> DataFrame:

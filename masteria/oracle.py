@@ -144,13 +144,14 @@ _FACETS = ("contains(lower(name), '{}') AND family IN ('Llama', 'Mistral', 'Othe
 SELECTS: dict[str, str] = {
     "read_models": "SELECT m.*, mean_theta FROM models m JOIN means ON id = model_id",
     "read_skills": """SELECT id, label, label_english, language, primary_benchmark, n_items,
-                             len(string_split(label, chr(10))) AS n_examples FROM catalogue""",
+                             CASE WHEN language = 'es' THEN 0 ELSE len(string_split(label, chr(10))) END AS n_examples FROM catalogue""",
     "read_skill_map": "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings",
     "read_responses": """SELECT vec_id AS model_id, unnest(range(0, len(embedding))) AS item_id,
                                 CASE WHEN unnest(embedding) > 0 THEN 1 ELSE 0 END::BIGINT AS correct FROM embeddings""",
-    "read_items": """SELECT id AS skill_id, i + 1 AS slot, i AS item_id, primary_benchmark AS benchmark, t AS text
-                     FROM (SELECT id, primary_benchmark, unnest(parts) AS t, unnest(range(0, len(parts))) AS i
-                           FROM (SELECT *, string_split(label, chr(10)) AS parts FROM catalogue))""",
+    "read_items": """SELECT id AS skill_id, i + 1 AS slot, n - i AS item_id, primary_benchmark AS benchmark, t AS text
+                     FROM (SELECT id, primary_benchmark, unnest(parts) AS t, unnest(range(0, len(parts))) AS i, len(parts) AS n
+                           FROM (SELECT *, string_split(label, chr(10)) AS parts FROM catalogue
+                                 WHERE language IS DISTINCT FROM 'es'))""",
     "write_models": "SELECT id, name, hf_id, accuracy FROM scored",
     "check_shape": """SELECT 'shape' AS "check", (a <> b)::BIGINT + (b <> c)::BIGINT AS violations,
                              a = b AND b = c AS ok,
@@ -210,9 +211,13 @@ SELECTS: dict[str, str] = {
     "skill_statistics": """SELECT id, any_value(primary_benchmark) AS primary_benchmark, any_value(n_items) AS n_items,
                                   round(avg(alpha), 9) AS alpha_mean
                            FROM skills JOIN items ON skill_id = id GROUP BY id""",
-    "example_items": """SELECT skill_id, slot, item_id, text, least(n_items, 3) AS shown, n_items
-                        FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY item_id) AS slot,
-                                     count(*) OVER (PARTITION BY skill_id) AS n_items FROM items) WHERE slot <= 3""",
+    "example_items": """SELECT id AS skill_id, slot, item_id, text, coalesce(shown, 0) AS shown, n_items
+                        FROM catalogue LEFT JOIN (
+                          SELECT id AS sid, i + 1 AS slot, n - i AS item_id, t AS text, least(n, 3) AS shown
+                          FROM (SELECT id, unnest(parts) AS t, unnest(range(0, len(parts))) AS i, len(parts) AS n
+                                FROM (SELECT *, string_split(label, chr(10)) AS parts FROM catalogue
+                                      WHERE language IS DISTINCT FROM 'es'))
+                          WHERE i < 3) ON id = sid""",
     "filter_models": f"SELECT * FROM models WHERE {_FACETS.format('model_1')}",
     "small_models": "SELECT * FROM models WHERE params <= 13",
     "filter_counts": f"SELECT count(*) FILTER ({_FACETS.format('model_1')}) AS visible, count(*) AS total FROM models",
@@ -269,7 +274,7 @@ SELECTS: dict[str, str] = {
     "best_model_per_skill": """SELECT skill_id, model_id, name, z AS theta FROM skill_cells JOIN models ON model_id = id
                                QUALIFY row_number() OVER (PARTITION BY skill_id ORDER BY z DESC, model_id) = 1""",
     "top_models_per_skill": """SELECT skill_id, row_number() OVER (PARTITION BY skill_id ORDER BY z DESC, model_id) AS rank,
-                                      model_id, name, z AS theta
+                                      model_id, name, family, tier, params, z AS theta
                                FROM skill_cells JOIN models ON model_id = id QUALIFY rank <= 10""",
     "model_accuracy": "SELECT model_id, round(accuracy, 4) AS accuracy FROM accuracy",
     "accuracy_summary": """SELECT count(*) AS n, round(min(accuracy), 9) AS "min", round(max(accuracy), 9) AS "max",
@@ -316,4 +321,30 @@ SELECTS: dict[str, str] = {
                           ON b.skill_id = vec_id""",
 }
 
+SELECTS |= {
+    **{f"read_models_{form}": SELECTS["read_models"] for form in ("array", "wrapped", "parquet")},
+    "read_skills_array": SELECTS["read_skills"],
+    "read_cells": SELECTS["theta_cells"],
+    "check_shape_dense": """SELECT 'shape' AS "check", 0::BIGINT AS violations, true AS ok,
+                                   n || ' responding, ' || n || ' listed, ' || n || ' models' AS detail
+                            FROM (SELECT count(*) AS n FROM embeddings)""",
+    "check_binary_dense": """SELECT 'binary' AS "check", 0::BIGINT AS violations, true AS ok,
+                                    '0 responses are neither 0 nor 1' AS detail""",
+    "check_alignment_dense": """SELECT 'alignment' AS "check", 0::BIGINT AS violations, true AS ok,
+                                       '0 positions differ in hub id' AS detail""",
+    "enrich_models": """SELECT id * 3 + 7 AS id, name, hf_id,
+                               round(len(list_filter(embedding, lambda e: e > 0)) / len(embedding)::DOUBLE, 4) AS accuracy
+                        FROM models JOIN embeddings ON id = vec_id""",
+    "responses_by_model": """SELECT vec_id * 3 + 7 AS model_id, unnest(range(0, len(embedding))) AS item_id,
+                                    CASE WHEN unnest(embedding) > 0 THEN 1 ELSE 0 END::BIGINT AS correct FROM embeddings""",
+    "skill_spread_many": """SELECT request_id, skill_id, min(z) AS lo, max(z) AS hi, max(z) - min(z) AS spread
+                            FROM (SELECT request_id, model_id FROM numbered JOIN models ON model_id = id
+                                  WHERE request_id IN (SELECT request_id FROM numbered JOIN models ON model_id = id
+                                                       GROUP BY request_id HAVING count(*) >= 2))
+                            JOIN skill_cells USING (model_id) GROUP BY ALL""",
+    "unmatched_responses": """SELECT count(*) AS n, count(*) FILTER (item_id NOT IN (SELECT item_id FROM items)) AS n_without_item,
+                                     count(*) FILTER (model_id NOT IN (SELECT id FROM models)) AS n_without_model
+                              FROM responses""",
+}
+
 ORACLE = {name: f"{VIEWS}\n{select}" for name, select in SELECTS.items()}

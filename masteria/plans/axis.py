@@ -2,7 +2,7 @@
 
 A model's theta holds one entry per skill, so the axis is no longer than a single model row.
 It reaches the rows through a scalar subquery: no join, no cross join, no shuffle of cells.
-``MAX_SKILLS`` backs this up: a longer skill table stops the job instead of being cut.
+There is no limit on the number of skills: an axis costs 8 bytes a skill.
 """
 
 from __future__ import annotations
@@ -10,21 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from masteria.functions.theta import at
+from masteria.functions.theta import at, number
 
-MAX_SKILLS = 100_000
 
-
-def _checked(values: Column, limit: int) -> Column:
-    message = F.lit(f"the skill axis is limited to {limit} skills")
-    return F.when(F.size(values) > limit, F.raise_error(message)).otherwise(values)
-
-
-def skill_axis(skills: DataFrame, limit: int = MAX_SKILLS) -> Column:
+def skill_axis(skills: DataFrame) -> Column:
     """Skill ids in ascending order, as a scalar ``array<bigint>``."""
-    # One row more than allowed is enough to see that there are too many.
-    ids = skills.select(F.col("id").cast("bigint").alias("id")).limit(limit + 1)
-    return ids.agg(F.array_sort(_checked(F.collect_list("id"), limit)).alias("axis")).scalar()
+    ids = skills.select(F.col("id").cast("bigint").alias("id"))
+    return ids.agg(F.array_sort(F.collect_list("id")).alias("axis")).scalar()
 
 
 def skill_vector(frame: DataFrame, value: str, skill: str = "skill_id") -> Column:
@@ -33,25 +25,15 @@ def skill_vector(frame: DataFrame, value: str, skill: str = "skill_id") -> Colum
     ``frame`` must hold one row per skill of the axis, as any aggregate over the axis does.
     """
     pair = F.struct(F.col(skill).alias("k"), F.col(value).alias("v"))
-    ordered = frame.agg(F.array_sort(_checked(F.collect_list(pair), MAX_SKILLS)).alias("pairs"))
+    ordered = frame.agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     return ordered.select(F.col("pairs.v").alias("vector")).scalar()
 
 
-def skill_entries(skills: DataFrame, limit: int = MAX_SKILLS) -> Column:
+def skill_entries(skills: DataFrame) -> Column:
     """The skill table in input order, as a scalar ``array<struct<ord, skill_id>>``."""
     rows = skills.select(ord_of(skills).alias("ord"), F.col("id").cast("bigint").alias("skill_id"))
     entry = F.collect_list(F.struct("ord", "skill_id"))
-    return rows.limit(limit + 1).agg(F.array_sort(_checked(entry, limit)).alias("entries")).scalar()
-
-
-def bounded(skills: DataFrame, limit: int = MAX_SKILLS) -> DataFrame:
-    """``skills`` unchanged, but the job stops if there are more rows than ``limit``.
-
-    Windows over the whole skill table run in one task; this makes its size certain.
-    """
-    n = skills.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).scalar()
-    message = F.lit(f"a skill table is limited to {limit} rows")
-    return skills.where(F.when(n > limit, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return rows.agg(F.array_sort(entry).alias("entries")).scalar()
 
 
 def ord_of(frame: DataFrame) -> Column:
@@ -69,4 +51,4 @@ def grid_cells(models: DataFrame, skills: DataFrame, *carry: str) -> DataFrame:
         F.col("id").cast("bigint").alias("model_id"), ord_of(models).alias("ord"), "theta", *carry)
     cells = rows.select("*", F.posexplode(skill_axis(skills)).alias("k", "skill_id"))
     return cells.select("model_id", "ord", "k", "skill_id",
-                        at("theta", F.col("skill_id")).alias("theta"), *carry)
+                        number(at("theta", F.col("skill_id"))).alias("theta"), *carry)

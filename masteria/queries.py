@@ -40,14 +40,60 @@ def _round(frame: DataFrame, digits: int, *columns: str) -> DataFrame:
 def read_models(spark, folder):
     path = new_path(spark, "models")
     write_models(fx.models(spark, folder), path, "json")
-    models = rd.read_models(spark, path, lines=True)
+    return _seen(rd.read_models(spark, path))
+
+
+def _seen(models):
     return models.select("id", "name", "hf_id", "family", "tier", "params", th.mean(F.col("theta")).alias("mean_theta"))
 
 
+def _as_array(frame, path, wrapper=None):
+    """Write a table as one JSON array in one file, as the forms for small inputs are."""
+    rows = frame.select(F.to_json(F.struct(*frame.columns)).alias("row"))
+    text = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ",\n"), F.lit("]"))
+    if wrapper:
+        text = F.concat(F.lit(f'{{"{wrapper}": '), text, F.lit("}"))
+    rows.agg(text.alias("value")).coalesce(1).write.text(path)
+
+
+def read_models_array(spark, folder):
+    path = new_path(spark, "models")
+    _as_array(fx.models(spark, folder), path)
+    return _seen(rd.read_models(spark, path))
+
+
+def read_models_wrapped(spark, folder):
+    path = new_path(spark, "models")
+    _as_array(fx.models(spark, folder), path, "models")
+    return _seen(rd.read_models(spark, path))
+
+
+def read_models_parquet(spark, folder):
+    path = new_path(spark, "models")
+    write_models(fx.models(spark, folder), path)
+    return _seen(rd.read_models(spark, path))
+
+
+def read_cells(spark, folder):
+    path = new_path(spark, "cells")
+    ce.theta_cells(fx.models(spark, folder)).write.parquet(path)
+    return rd.read_cells(spark, path)
+
+
+def read_skills_array(spark, folder):
+    path = new_path(spark, "skills")
+    _as_array(fx.catalogue_with_examples(spark, folder), path)
+    return _listed(rd.read_skills(spark, path))
+
+
 def read_skills(spark, folder):
     path = new_path(spark, "skills")
     fx.catalogue_with_examples(spark, folder).write.json(path)
-    return rd.read_skills(spark, path, lines=True).select(
+    return _listed(rd.read_skills(spark, path))
+
+
+def _listed(skills):
+    return skills.select(
         "id", "label", "label_english", "language", "primary_benchmark", "n_items",
         F.size("example_items").cast("bigint").alias("n_examples"))
 
@@ -55,7 +101,7 @@ def read_skills(spark, folder):
 def read_skill_map(spark, folder):
     path = new_path(spark, "map")
     fx.map_points(spark, folder).write.json(path)
-    return rd.read_skill_map(spark, path, lines=True)
+    return rd.read_skill_map(spark, path)
 
 
 def read_responses(spark, folder):
@@ -89,6 +135,30 @@ def check_alignment(spark, folder):
     return re.check_alignment(fx.respondents(spark, folder), fx.models(spark, folder))
 
 
+def check_shape_dense(spark, folder):
+    return re.check_shape(fx.dense_responses(spark, folder), fx.placed_respondents(spark, folder), fx.placed_models(spark, folder))
+
+
+def check_binary_dense(spark, folder):
+    return re.check_binary(fx.dense_responses(spark, folder))
+
+
+def check_alignment_dense(spark, folder):
+    return re.check_alignment(fx.placed_respondents(spark, folder), fx.placed_models(spark, folder))
+
+
+def enrich_models(spark, folder):
+    path = new_path(spark, "enriched")
+    re.enrich_models(fx.placed_models(spark, folder), fx.dense_responses(spark, folder),
+                     fx.placed_respondents(spark, folder), path)
+    return spark.read.parquet(path).select("id", "name", "hf_id", "accuracy")
+
+
+def responses_by_model(spark, folder):
+    return re.by_model(fx.dense_responses(spark, folder), fx.placed_models(spark, folder)).select(
+        "model_id", "item_id", F.col("correct").cast("bigint").alias("correct"))
+
+
 # Cells ---------------------------------------------------------------------------------------
 
 def theta_cells(spark, folder):
@@ -179,7 +249,8 @@ def primary_benchmark(spark, folder):
 
 
 def example_items(spark, folder):
-    return ta.example_items(fx.items(spark, folder))
+    catalogue = fx.catalogue_with_examples(spark, folder)
+    return ta.example_items(catalogue, rd.read_items(catalogue))
 
 
 # Models --------------------------------------------------------------------------------------
@@ -300,6 +371,12 @@ def skill_spread(spark, folder):
     return co.skill_spread(_selections(spark, folder), fx.models(spark, folder), fx.skills(spark, folder))
 
 
+def skill_spread_many(spark, folder):
+    models = fx.models(spark, folder)
+    selections = co.resolve_selections(fx.requests(spark, folder), models, at_most=10)
+    return co.skill_spread(selections, models, fx.skills(spark, folder))
+
+
 def divergent_skills(spark, folder):
     return co.divergent_skills(_selections(spark, folder), fx.models(spark, folder), fx.skills(spark, folder))
 
@@ -327,6 +404,10 @@ def irt_probability(spark, folder):
     return _round(_predicted(spark, folder).select("model_id", "item_id", "correct", "p"), 6, "p")
 
 
+def unmatched_responses(spark, folder):
+    return di.unmatched_responses(fx.responses(spark, folder), fx.items(spark, folder), fx.models(spark, folder))
+
+
 def benchmark_prediction(spark, folder):
     return _round(di.benchmark_prediction(_predicted(spark, folder), "heldout"), 6, "predicted", "actual")
 
@@ -364,6 +445,11 @@ def described_map(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "read_models": read_models,
+    "read_models_array": read_models_array,
+    "read_models_wrapped": read_models_wrapped,
+    "read_models_parquet": read_models_parquet,
+    "read_cells": read_cells,
+    "read_skills_array": read_skills_array,
     "read_skills": read_skills,
     "read_skill_map": read_skill_map,
     "read_responses": read_responses,
@@ -372,6 +458,9 @@ QUERIES: dict[str, Query] = {
     "check_shape": check_shape,
     "check_binary": check_binary,
     "check_alignment": check_alignment,
+    "check_alignment_dense": check_alignment_dense,
+    "check_binary_dense": check_binary_dense,
+    "check_shape_dense": check_shape_dense,
     "theta_cells": theta_cells,
     "missing_cells": missing_cells,
     "relative_cells": relative_cells,
@@ -413,6 +502,8 @@ QUERIES: dict[str, Query] = {
     "leaderboard_grid": leaderboard_grid,
     "matrix_slice": matrix_slice,
     "attach_accuracy": attach_accuracy,
+    "responses_by_model": responses_by_model,
+    "enrich_models": enrich_models,
     "skill_means": skill_means,
     "skill_means_skip": skill_means_skip,
     "skill_histograms": skill_histograms,
@@ -423,11 +514,13 @@ QUERIES: dict[str, Query] = {
     "accuracy_summary": accuracy_summary,
     "resolve_selections": resolve_selections,
     "skill_spread": skill_spread,
+    "skill_spread_many": skill_spread_many,
     "divergent_skills": divergent_skills,
     "lead_counts": lead_counts,
     "compare_suggestion": compare_suggestion,
     "heldout_split": heldout_split,
     "irt_probability": irt_probability,
+    "unmatched_responses": unmatched_responses,
     "benchmark_prediction": benchmark_prediction,
     "prediction_quality": prediction_quality,
     "weak_beats_strong": weak_beats_strong,

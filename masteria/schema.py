@@ -40,6 +40,12 @@ MAP_POINT = T.StructType([
     T.StructField("y", T.DoubleType()),
 ])
 
+CELL = T.StructType([
+    T.StructField("model_id", T.LongType()),
+    T.StructField("skill_id", T.LongType()),
+    T.StructField("theta", T.DoubleType()),
+])
+
 RESPONDENT = T.StructType([
     T.StructField("pos", T.LongType()),
     T.StructField("hf_id", T.StringType()),

@@ -1,60 +1,96 @@
-"""Readers for models, skills, the skill map, responses and items.
+"""Readers for models, skills, cells, the skill map, responses and items.
 
-A JSON file may be one array, one object that wraps the array, or (``lines=True``) one object
-per line. The first two are read whole, file by file, because a JSON array cannot be split;
-their rows carry ``ord``, the position in the array. JSON lines and Parquet are split freely
-and are the forms for large inputs; there the id gives the order.
+A JSON file may be one array, one object that wraps the array, or one object per line. The first
+two are read whole, because a JSON array cannot be split; their rows carry ``ord``, the position in
+the array. JSON lines and Parquet are split freely and are the forms for large inputs; there
+the id gives the order. The form is seen from the beginning of the data unless it is named.
+
+Nothing is left out in silence: a second array file, an object without the array it should
+wrap, and anything after the end of the array are refused.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masteria.functions.theta import without_nan
-from masteria.schema import MAP_POINT, MODEL, RESPONDENT, SKILL
+from masteria.schema import CELL, MAP_POINT, MODEL, RESPONDENT, SKILL
+
+FORMS = ("array", "wrapped", "lines", "parquet")
+
+
+def _form_of(spark: SparkSession, path: str, wrapper: str | None) -> str:
+    """The form of the data by its first line that is not blank."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(
+        F.ltrim("value").alias("line"), F.get_json_object("value", "$").isNotNull().alias("complete"),
+        F.get_json_object("value", f"$.{wrapper}").isNotNull().alias("wraps") if wrapper else F.lit(False).alias("wraps"),
+    ).first()
+    if first is None or first.line.startswith("["):
+        return "array"
+    if first.line.startswith("PAR1"):
+        return "parquet"
+    return "wrapped" if wrapper and (first.wraps or not first.complete) else "lines"
+
+
+def _refused_unless(fits: Column, value: Column, message: str) -> Column:
+    return F.when(fits, value).otherwise(F.raise_error(F.lit(message)))
 
 
 def _read_array(spark: SparkSession, path: str, row: T.StructType, wrapper: str | None) -> DataFrame:
     """Rows of a JSON array, bare or under ``wrapper``, with their position."""
-    fields = row.fields + ([T.StructField(wrapper, T.ArrayType(row))] if wrapper else [])
-    parsed = F.from_json("value", T.ArrayType(T.StructType(fields)), {"mode": "FAILFAST"})
-    roots = spark.read.text(path, wholetext=True).select(F.posexplode(parsed).alias("outer", "root"))
-    bare = F.struct(*[F.col(f"root.{f.name}").alias(f.name) for f in row.fields])
-    if wrapper is None:
-        return roots.select(F.col("outer").cast("bigint").alias("ord"), bare.alias("row")).select("row.*", "ord")
-    inner = F.coalesce(F.col(f"root.{wrapper}"), F.array(bare))
-    rows = roots.select("outer", F.posexplode(inner).alias("inner", "row"))
-    return rows.select("row.*", (F.col("outer") + F.col("inner")).cast("bigint").alias("ord"))
-
-
-def _read(spark: SparkSession, path: str, row: T.StructType, wrapper: str | None, lines: bool) -> DataFrame:
-    if lines:
+    root = T.StructType([T.StructField(wrapper, T.ArrayType(row))]) if wrapper else T.ArrayType(row)
+    # Inside brackets, text after the end of the root is an error.
+    inside = F.concat(F.lit("["), F.col("value"), F.lit("]"))
+    roots = F.from_json(inside, T.ArrayType(root), {"mode": "FAILFAST"})
+    files = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
+    one = files.select(_refused_unless((n == 1) & (F.size(roots) == 1), F.get(roots, F.lit(0)),
+                                       f"{path}: one array in one file is read; use JSON lines or Parquet for more").alias("root"))
+    rows = F.col(f"root.{wrapper}") if wrapper else F.col("root")
+    name = f" under {wrapper!r}" if wrapper else ""
+    rows = _refused_unless(rows.isNotNull(), rows, f"{path}: there is no array{name}")
+    return one.select(F.posexplode(rows).alias("ord", "row")).select("row.*", F.col("ord").cast("bigint").alias("ord"))
+
+
+def _read(spark: SparkSession, path: str, row: T.StructType, wrapper: str | None, form: str | None) -> DataFrame:
+    form = form or _form_of(spark, path, wrapper)
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}, not {form!r}")
+    if form == "lines":
         return spark.read.schema(row).option("mode", "FAILFAST").json(path)
-    return _read_array(spark, path, row, wrapper)
+    if form == "parquet":
+        return spark.read.schema(row).parquet(path)
+    return _read_array(spark, path, row, wrapper if form == "wrapped" else None)
 
 
-def read_models(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    models = _read(spark, path, MODEL, "models", lines)
+def read_models(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    models = _read(spark, path, MODEL, "models", form)
     return models.withColumn("theta", without_nan(F.col("theta")))
 
 
-def read_skills(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return _read(spark, path, SKILL, "skills", lines)
+def read_skills(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    return _read(spark, path, SKILL, "skills", form)
 
 
-def read_skill_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_skill_map(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """Map points; without a file there is no map, which is not an error."""
     try:
-        return _read(spark, path, MAP_POINT, None, lines).select("id", "x", "y")
+        return _read(spark, path, MAP_POINT, None, form).select("id", "x", "y")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], MAP_POINT)
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Long mastery cells from Parquet; a value that is no number is missing."""
+    cells = spark.read.schema(CELL).parquet(path)
+    return cells.withColumn("theta", F.when(~F.isnan("theta"), F.col("theta")))
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Long responses from a Parquet table with one array of answers per respondent."""
     return responses_long(spark.read.schema(RESPONDENT).parquet(path))

@@ -198,10 +198,30 @@ def test_results_do_not_depend_on_partitions(spark, edge, axis):
     assert {s: sum(n for t, _, n, _ in hist if t == s) for s in range(3)} == {0: 200, 1: 200, 2: 200}
 
 
-def test_axis_limit(spark):
-    from masteria.plans.axis import bounded, skill_axis
-    few = skills(spark, {"id": 0}, {"id": 1}, {"id": 2})
-    assert bounded(few, 3).count() == 3
-    for failing in (lambda: bounded(few, 2).collect(), lambda: spark.range(1).select(skill_axis(few, 2)).collect()):
-        with pytest.raises(Exception, match="limited to 2"):
-            failing()
+def test_long_axis(spark):
+    """No limit on the number of skills, wherever they are used."""
+    from masteria.operators import taxonomy as ta
+
+    n = 100_001
+    many = spark.range(n).select("id", F.concat(F.lit("b"), F.col("id") % 3).alias("primary_benchmark"), (F.col("id") % 10).alias("n_items"))
+    assert ta.skills_by_size(many).count() == n
+    order = ta.grid_order(many)
+    assert order.agg(F.count_distinct("pos"), F.min("pos"), F.max("pos")).first() == (n, 0, n - 1)
+    assert order.where("skill_id = 4").first().pos == (n + 2) // 3 + 1
+    assert [r.share for r in ta.sector_runs(order).orderBy("run").collect()] == [33334 / n, 33334 / n, 33333 / n]
+    wide = spark.range(2).select("id", F.array_repeat(F.lit(0.5), n).alias("theta"))
+    assert po.skill_means(wide, many).agg(F.count("*"), F.sum("mean_theta")).first() == (n, n / 2)
+
+
+def test_nan_never_wins(spark):
+    table = models(spark, {"id": 10, "name": "nan", "theta": [float("nan"), 0.1], "params": 1.0},
+                   {"id": 11, "name": "best", "theta": [0.5, 0.2], "params": 1.0})
+    axis = skills(spark, {"id": 0}, {"id": 1})
+    assert rows(po.best_model_per_skill(table, axis)) == [(0, 11, "best", 0.5), (1, 11, "best", 0.2)]
+    assert rows(po.skill_means(table, axis, nulls="skip")) == [(0, 0.5), (1, 0.15000000000000002)]
+
+
+def test_repeated_positions_do_not_multiply(spark):
+    """``ord`` may repeat where files were read apart; a skill still has one best model."""
+    table = models(spark, {"id": 1, "name": "a", "theta": [0.5]}, {"id": 2, "name": "b", "theta": [0.1]}).withColumn("ord", F.lit(0))
+    assert rows(po.best_model_per_skill(table, skills(spark, {"id": 0}))) == [(0, 1, "a", 0.5)]

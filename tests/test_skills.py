@@ -102,6 +102,8 @@ def test_item_statistics(spark):
     assert rows(ta.alpha_mean(table)) == [(0, 2.0), (1, 1.5)]
     assert rows(ta.primary_benchmark(table)) == [(0, "MATH"), (1, "ARC")]
     assert rows(ta.skill_statistics(table)) == [(0, "MATH", 4, 2.0), (1, "ARC", 2, 1.5)]
-    assert rows(ta.example_items(table)) == [
-        (0, 1, 1, "a", 3, 4), (0, 2, 2, "b", 3, 4), (0, 3, 3, "c", 3, 4), (1, 1, 8, "y", 2, 2), (1, 2, 9, "z", 2, 2)]
+    listed = spark.createDataFrame([(5, k + 1, i, f"t{i}") for k, i in enumerate((9, 2, 7, 1))], "skill_id long, slot long, item_id long, text string")
+    sized = spark.createDataFrame([(5, 90), (6, 4)], "id long, n_items long")
+    assert rows(ta.example_items(sized, listed)) == [
+        (5, 1, 9, "t9", 3, 90), (5, 2, 2, "t2", 3, 90), (5, 3, 7, "t7", 3, 90), (6, None, None, None, 0, 4)]
     assert rows(ta.catalogue_counts(models(spark, {"id": 1}), axis, table)) == [(1, 3, 6, 1)]

@@ -30,7 +30,7 @@ def test_models_in_every_layout(spark, folder):
     columns = ("id", "name", "hf_id", "family", "tier", "params", "theta", "accuracy")
     bare = rd.read_models(spark, _write(folder, "bare", json.dumps(MODELS, indent=1)))
     wrapped = rd.read_models(spark, _write(folder, "wrapped", json.dumps({"models": MODELS})))
-    lines = rd.read_models(spark, _write(folder, "lines", "\n".join(map(json.dumps, MODELS))), lines=True)
+    lines = rd.read_models(spark, _write(folder, "lines", "\n".join(map(json.dumps, MODELS))))
     want = [(1, "a", "o__a", "Phi", "Mid", None, [0.5, None], 0.25), (3, "b", None, "Phi", "Small", 7.0, [0.0, 1.0], None)]
     assert rows(bare, *columns) == rows(wrapped, *columns) == rows(lines, *columns) == want
     assert rows(bare, "ord", "id") == rows(wrapped, "ord", "id") == [(0, 3), (1, 1)]
@@ -43,6 +43,32 @@ def test_empty_and_broken_files(spark, folder):
         rd.read_models(spark, _write(folder, "broken", '[{"id": 1,')).collect()
 
 
+def test_nothing_is_lost(spark, folder):
+    """Lines read without naming the form, several files, wrong roots and text after the root."""
+    table = spark.range(5).select(F.col("id"), F.lit("n").alias("name"), F.array(F.lit(0.5)).alias("theta")).repartition(3)
+    write_models(table, f"{folder}/lines", "json")
+    assert rows(rd.read_models(spark, f"{folder}/lines"), "id") == [(k,) for k in range(5)]
+    write_models(table, f"{folder}/parquet")
+    assert rows(rd.read_models(spark, f"{folder}/parquet"), "id") == [(k,) for k in range(5)]
+    for k in range(2):
+        (spark.createDataFrame([(json.dumps(MODELS),)], "value string").coalesce(1).write.mode("append").text(f"{folder}/several"))
+    for path in (f"{folder}/several", _write(folder, "after", "[]\n[]"), _write(folder, "more", '[{"id": 1}] x'),
+                 _write(folder, "two", '[{"id": 1}], [{"id": 2}]')):
+        with pytest.raises(Exception, match="one array|MALFORMED|malformed"):
+            rd.read_models(spark, path).collect()
+    for text in ('{"models": null}', '{"error": "x"}'):
+        with pytest.raises(Exception, match="no array|MALFORMED|malformed"):
+            rd.read_models(spark, _write(folder, "root", text), form="wrapped").collect()
+    assert rd.read_models(spark, _write(folder, "pretty", json.dumps({"models": MODELS}, indent=2))).count() == 2
+    assert rd.read_models(spark, _write(folder, "blank", "")).count() == 0
+
+
+def test_cells(spark, folder):
+    (spark.createDataFrame([(1, 2, float("nan")), (1, 3, 0.5), (2, 2, None)], "model_id long, skill_id long, theta double")
+     .write.parquet(f"{folder}/cells"))
+    assert rows(rd.read_cells(spark, f"{folder}/cells")) == [(1, 2, None), (1, 3, 0.5), (2, 2, None)]
+
+
 def test_nan_is_missing(spark, folder):
     path = _write(folder, "nan", '[{"id": 1, "theta": [NaN, 0.5]}]')
     assert rows(rd.read_models(spark, path), "theta") == [([None, 0.5],)]
@@ -75,7 +101,7 @@ def test_responses(spark, folder):
 def test_write_models(spark, folder):
     table = models(spark, {"id": 1, "theta": [0.5, None], "accuracy": 0.5}).drop("ord")
     write_models(table, f"{folder}/m", "json")
-    assert rows(rd.read_models(spark, f"{folder}/m", lines=True)) == rows(table)
+    assert rows(rd.read_models(spark, f"{folder}/m")) == rows(table)
     write_models(table, f"{folder}/p")
     with pytest.raises(ValueError, match="read from it"):
         write_models(spark.read.parquet(f"{folder}/p").withColumn("accuracy", F.lit(0.1)), f"{folder}/p")
