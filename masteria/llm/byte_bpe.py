@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from masteria.llm.rows import map_rows, texts_of
-from masteria.llm.words import Unsplittable, Words, chunks, ends_open
+from masteria.llm.words import Unsplittable, Words, chunks, ends_open, lines_of
 
 SHIFT = 0x100
 TO_PIECE = {b: SHIFT + b for b in range(256)}
@@ -82,7 +82,9 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.bytes_of = sorted(self.ranks, key=self.ranks.__getitem__)
         self.pretokens = Words(self.encode_pretoken, lambda pretoken: False)
-        self.words = Words(lambda word: self._encode(" " + word), ends_open)
+        self.words = Words(self._word, ends_open)
+        self.starts = Words(self._encode, lambda word: False)
+        self.line_end = self._encode("\n")
 
     def encode_pretoken(self, pretoken: str) -> list[int]:
         raw = pretoken.encode("utf-8")
@@ -93,6 +95,11 @@ class ByteBpe:
     def _encode(self, chunk: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.pattern.findall(chunk))))
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        if parts := lines_of(word):
+            return sum((self.line_end + self.starts[p] for p in parts[1:]), self.words[parts[0]])
+        return self._encode(" " + word)
+
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
         ids: list[int] = []

@@ -47,6 +47,16 @@ def ends_open(word: str) -> bool:
     return not word or word[-1].isspace()
 
 
+def lines_of(word: str) -> list[str] | None:
+    """The parts of a word between its line ends, if each line end is white space by itself; else nothing."""
+    if "\n" not in word:
+        return None
+    parts = word.split("\n")
+    if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        return None
+    return parts
+
+
 def chunks(text: str) -> list[str]:
     """The text cut before each space that follows a character other than white space."""
     out, chunk = [], None
