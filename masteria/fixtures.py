@@ -74,8 +74,10 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skills(spark: SparkSession, folder: str) -> DataFrame:
-    """The skills that items belong to, with their statistics."""
-    return skill_statistics(items(spark, folder))
+    """Every position of the theta arrays, with the statistics of its items; some have none."""
+    known = skill_statistics(items(spark, folder))
+    return theta_skills(spark, folder).join(known, "id", "left").select(
+        "id", "primary_benchmark", F.coalesce("n_items", F.lit(0)).alias("n_items"), "alpha_mean")
 
 
 def theta_skills(spark: SparkSession, folder: str) -> DataFrame:

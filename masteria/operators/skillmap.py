@@ -61,6 +61,20 @@ def skill_pca_map(models: DataFrame, skills: DataFrame, nulls: str = "zero") ->
     return placed.select(F.get(skill_axis(skills), F.col("k").cast("int")).alias("skill_id"), "x", "y")
 
 
+def skill_products(models: DataFrame, skills: DataFrame) -> DataFrame:
+    """For every pair of skills the sum over all models of the product of their values.
+
+    Products are made inside the row of a model and added up in each task.
+    """
+    rows = models.select("theta", skill_axis(skills).alias("axis"))
+    filled = rows.select(th.let(F.col("theta"), lambda t: F.transform(
+        "axis", lambda s: F.struct(s.alias("skill"), th.zero(th.at(t, s)).alias("value")))).alias("row"))
+    first = filled.select("row", F.posexplode("row").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("row", F.col("i") + 1, F.size("row") - F.col("i"))).alias("b"))
+    return pairs.groupBy(F.col("a.skill").alias("skill_id"), F.col("b.skill").alias("other_id")).agg(
+        F.sum(F.col("a.value") * F.col("b.value")).alias("product"))
+
+
 def described_map(points: DataFrame, skills: DataFrame, models: DataFrame, nulls: str = "zero") -> DataFrame:
     """Map points with their skill and its best model. Points without a skill are dropped."""
     best = best_model_per_skill(models, skills, nulls).select(

@@ -64,8 +64,10 @@ primary_bench AS (
     SELECT skill_id, benchmark, count(*) AS n FROM items GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY skill_id ORDER BY n DESC, {_PLACE.format('benchmark')}, benchmark) = 1),
 skills AS (
-  SELECT skill_id AS id, any_value(b.benchmark) AS primary_benchmark, count(*) AS n_items
-  FROM items JOIN primary_bench b USING (skill_id) GROUP BY skill_id),
+  SELECT p AS id, benchmark AS primary_benchmark, coalesce(n, 0) AS n_items
+  FROM (SELECT DISTINCT skill_id AS p FROM cells)
+  LEFT JOIN (SELECT skill_id, count(*) AS n FROM items GROUP BY skill_id) c ON c.skill_id = p
+  LEFT JOIN primary_bench b ON b.skill_id = p),
 grid AS (
   SELECT id AS skill_id, primary_benchmark AS benchmark,
          row_number() OVER (ORDER BY {_PLACE.format('primary_benchmark')}, first_id, id) - 1 AS pos
@@ -198,7 +200,8 @@ SELECTS: dict[str, str] = {
                                    count(*) / (SELECT count(*) FROM skills)::DOUBLE AS share
                             FROM (SELECT id, benchmark, sum(new) OVER (ORDER BY id)::BIGINT AS run
                                   FROM (SELECT id, primary_benchmark AS benchmark,
-                                               CASE WHEN lag(primary_benchmark) OVER (ORDER BY id) = primary_benchmark
+                                               CASE WHEN id > (SELECT min(id) FROM skills)
+                                                     AND lag(primary_benchmark) OVER (ORDER BY id) IS NOT DISTINCT FROM primary_benchmark
                                                     THEN 0 ELSE 1 END AS new FROM skills))
                             GROUP BY run, benchmark""",
     "skills_by_size": """SELECT primary_benchmark AS benchmark, id AS skill_id, n_items,
@@ -251,7 +254,7 @@ SELECTS: dict[str, str] = {
     "leaderboard_grid": f"""SELECT rank, b.* EXCLUDE (rank), c.* EXCLUDE (model_id)
                             FROM ({_BOARD.format('accuracy DESC NULLS LAST')}) b
                             JOIN (SELECT model_id, {', '.join(
-                                f'max(theta) FILTER (skill_id = {s}) AS s{s}' for s in range(1, 51))}
+                                f'max(theta) FILTER (skill_id = {s}) AS s{s}' for s in range(64))}
                                   FROM cells GROUP BY model_id) c ON b.model_id = c.model_id""",
     "matrix_slice": """SELECT rank, model_id, skill_id, coalesce(theta, 0) AS theta
                        FROM cells JOIN (SELECT model_id, row_number() OVER (ORDER BY mean_theta DESC, model_id) AS rank
@@ -325,6 +328,9 @@ SELECTS |= {
     **{f"read_models_{form}": SELECTS["read_models"] for form in ("array", "wrapped", "parquet")},
     "read_skills_array": SELECTS["read_skills"],
     "read_cells": SELECTS["theta_cells"],
+    "skill_products": """SELECT a.skill_id, b.skill_id AS other_id, sum(a.z * b.z) AS product
+                         FROM skill_cells a JOIN skill_cells b ON a.model_id = b.model_id AND a.skill_id <= b.skill_id
+                         GROUP BY ALL""",
     "check_shape_dense": """SELECT 'shape' AS "check", 0::BIGINT AS violations, true AS ok,
                                    n || ' responding, ' || n || ' listed, ' || n || ' models' AS detail
                             FROM (SELECT count(*) AS n FROM embeddings)""",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from masteria.plans.storage import stored
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 # Parts that the rows are thought of as divided into. A key that owns more than one part is hot
@@ -58,8 +60,9 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     source = facts if counted is None else counted
     counts = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("n")).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") * PARTS > total)  # fewer than PARTS rows
-                      .select(key, F.ceil(F.col("_n") * PARTS / total).cast("int").alias("_pieces")))
+    # Fewer than PARTS rows, counted once and used on both sides.
+    hot = F.broadcast(stored(counts.where(F.col("_n") * PARTS > total)
+                             .select(key, F.ceil(F.col("_n") * PARTS / total).cast("int").alias("_pieces")), "hot"))
     pieces = F.when(F.col(key).isNull(), F.lit(PARTS)).otherwise(F.coalesce("_pieces", F.lit(1)))
     piece = F.when(pieces > 1, F.pmod(F.xxhash64(*facts.columns), pieces)).otherwise(F.lit(0))
     spread = facts.join(hot, key, "left").withColumn("_piece", piece.cast("int"))

@@ -439,6 +439,10 @@ def skill_pca_map(spark, folder):
     return _round(sm.skill_pca_map(fx.models(spark, folder), fx.skills(spark, folder)), 6, "x", "y")
 
 
+def skill_products(spark, folder):
+    return sm.skill_products(fx.models(spark, folder), fx.skills(spark, folder))
+
+
 def described_map(spark, folder):
     return sm.described_map(fx.map_points(spark, folder), fx.skills(spark, folder), fx.models(spark, folder))
 
@@ -527,5 +531,6 @@ QUERIES: dict[str, Query] = {
     "weak_beats_strong_by_mean": weak_beats_strong_by_mean,
     "weak_beats_strong_by_skill": weak_beats_strong_by_skill,
     "skill_pca_map": skill_pca_map,
+    "skill_products": skill_products,
     "described_map": described_map,
 }

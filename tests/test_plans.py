@@ -32,7 +32,8 @@ WHOLE_WINDOWS = {
     "top_models", "matrix_slice",  # after a limit
 }
 SCALARS = {"check_shape", "check_binary", "check_alignment", "catalogue_counts", "skill_match_total", "filter_counts",
-           "accuracy_summary", "compare_suggestion"}
+           "accuracy_summary", "compare_suggestion", "unmatched_responses",
+           "check_shape_dense", "check_binary_dense", "check_alignment_dense"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.TEXT_QUERIES)))
