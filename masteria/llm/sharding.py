@@ -2,7 +2,8 @@
 
 Rows of equal text form a group that is never split; groups are ordered by their smallest id. The
 smallest capacity is sought for which a greedy walk over the groups needs no more than the given
-number of shards, and the order is cut where that walk cuts it.
+number of shards. The order is then cut within that capacity; where the walk has room to spare, which
+would all be left to the last shard, cuts are moved towards equal shares.
 
 Neither the groups nor their sizes are brought to the driver. The order is held as a tree of id
 ranges, at first a bounded number of equal ones, each with the total size of its groups. For a
@@ -81,6 +82,26 @@ class Walk:
                 low = middle + 1
         return low
 
+    def even(self, capacity: int) -> list[int]:
+        """Range boundaries between the shards, none above the capacity, as near to equal shares as that allows.
+
+        A walk from the end gives the earliest boundary from which the capacity still suffices for the rest.
+        """
+        known = np.concatenate(([0], self.ends))
+        earliest, at = [], self.total
+        for _ in range(self.shards - 1):
+            at = int(known[np.searchsorted(known, at - capacity, "left")])
+            earliest.append(at)
+        out, at = [], 0
+        for k, low in zip(range(1, self.shards), reversed(earliest)):
+            first, last = np.searchsorted(known, max(low, at), "left"), np.searchsorted(known, at + capacity, "right") - 1
+            near = np.searchsorted(known, self.total * k / self.shards, "left")
+            if near and abs(known[near - 1] - self.total * k / self.shards) <= abs(known[near] - self.total * k / self.shards):
+                near -= 1
+            at = int(known[min(max(near, first), last)])
+            out.append(at)
+        return out
+
     def undecided(self, low: int, high: int) -> list[int]:
         """Ranges of several groups in which a shard may end for some capacity from ``low`` to ``high``."""
         marked = np.zeros(len(self.ranges), dtype=bool)
@@ -123,7 +144,7 @@ def cuts(groups: DataFrame, shards: int, first_bits: int = FIRST_BITS, next_bits
                       .join(F.broadcast(chosen), "number", "left_semi"))  # a few ranges per shard
             parts += _ranges(inside.select("key", "bytes"), origin, max(0, shift - next_bits))
         ranges = [*kept, *parts]
-    ends = walk.reached(walk.early, enough)
+    ends = walk.even(enough)
     starts = sorted({int(np.searchsorted(walk.ends, e, "right")) for e in ends if e < walk.total})
     return [walk.ranges[i].low for i in starts]
 

@@ -137,6 +137,21 @@ def test_shards_refine_ranges(spark, monkeypatch):
     _check_shards(rows, sharding.assign_shards(_docs(spark, rows), shards=9).collect(), 9)
 
 
+def test_shares_are_even():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 300, 5000).tolist()
+    ranges = [sharding.Range(k, 0, k, n, 1, n) for k, n in enumerate(sizes)]
+    walk = sharding.Walk(ranges, 40)
+    capacity = walk.smallest(walk.early)
+    assert capacity == _smallest_capacity(sizes, 40)
+    shares = np.diff([0, *walk.even(capacity), sum(sizes)])
+    assert shares.max() <= capacity and shares.min() > 0.95 * sum(sizes) / 40
+    for lumps in ([1000, 1, 1, 1], [1, 1, 1, 1000], [5] * 3, [7, 1, 1, 7, 1, 1, 7]):
+        walk = sharding.Walk([sharding.Range(k, 0, k, n, 1, n) for k, n in enumerate(lumps)], 3)
+        capacity = walk.smallest(walk.early)
+        assert max(np.diff([0, *walk.even(capacity), sum(lumps)])) == capacity == _smallest_capacity(lumps, 3)
+
+
 def test_shards_odd(spark, odd_docs, no_docs):
     got = sharding.assign_shards(odd_docs, shards=3)
     assert got.count() == odd_docs.count()
