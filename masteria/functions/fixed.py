@@ -3,9 +3,8 @@
 # Benchmarks that come first in the grid, in this order.
 GRID_BENCHMARKS = ("MATH", "BBH", "GPQA", "IFEval", "MuSR")
 
-# Known families and size tiers; any other family counts as "Other".
+# Known families; any other counts as "Other".
 FAMILIES = ("Llama", "Qwen", "Mistral", "Gemma", "Phi", "Mixtral", "Other")
-TIERS = ("Small", "Mid", "Large", "Other")
 
 # Labels were cut upstream at this many characters.
 LABEL_CUT = 50

@@ -20,8 +20,11 @@ def theta_cells(models: DataFrame) -> DataFrame:
     ).select("model_id", F.col("skill_id").cast("bigint").alias("skill_id"), "theta")
 
 
-def theta_wide(cells: DataFrame) -> DataFrame:
-    """Long cells back to one array per model; gaps become null."""
+def theta_wide(cells: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Long cells back to one array per model; gaps become null.
+
+    A model without cells is only known from ``models``, and gets an empty array.
+    """
     entries = F.array_sort(F.collect_list(F.struct("skill_id", "theta")))
 
     def filled(ordered):
@@ -31,7 +34,12 @@ def theta_wide(cells: DataFrame) -> DataFrame:
             return F.concat(F.array_repeat(F.lit(None).cast("double"), gap), F.array(entry["theta"]))
         return F.flatten(F.transform(ordered, step))
 
-    return cells.groupBy(F.col("model_id").alias("id")).agg(let(entries, filled).alias("theta"))
+    wide = cells.groupBy(F.col("model_id").alias("id")).agg(let(entries, filled).alias("theta"))
+    if models is None:
+        return wide
+    empty = F.array().cast("array<double>")
+    return (models.select(F.col("id").cast("bigint").alias("id")).join(wide, "id", "left")
+            .select("id", F.coalesce("theta", empty).alias("theta")))
 
 
 def missing_cells(models: DataFrame, skills: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from masteria.functions.fixed import WHITE_SPACE
 
 _SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE)
+# The benchmarks that come first in the grid. The lists of families and benchmarks further
+# down are fixed values too; see ``functions.fixed``.
 _PLACE = ("CASE {0} WHEN 'MATH' THEN 1 WHEN 'BBH' THEN 2 WHEN 'GPQA' THEN 3 "
           "WHEN 'IFEval' THEN 4 WHEN 'MuSR' THEN 5 ELSE 6 END")
 

@@ -43,6 +43,7 @@ def test_entries_without_a_skill_are_left_out(spark, edge):
 
 def test_wide_is_the_inverse_of_long(spark, edge):
     cells = ce.theta_cells(edge).where(F.col("theta").isNotNull()).repartition(5)
+    assert rows(ce.theta_wide(cells, cells.sparkSession.createDataFrame([(2,), (9,)], "id long"))) == [(2, [None, 1.2, -0.1]), (9, [])]
     assert rows(ce.theta_wide(cells)) == [(1, [0.0, 1.0, 0.5]), (2, [None, 1.2, -0.1]), (3, [0.25])]
 
 
