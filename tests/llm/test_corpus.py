@@ -311,3 +311,22 @@ def test_stages_keep_columns(spark, odd_docs, no_docs):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             assert out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, odd_docs, FOLDER).select("doc_id").distinct().count() == odd_docs.select("doc_id").distinct().count()
+
+
+def test_large_buckets_over_many_batches(monkeypatch):
+    """Wherever batches and search blocks end, a bucket above the bound is handed on whole, and once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "ROWS", 50)
+    sizes = [3, 200, 1, 24, 25, 2, 120, 30]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 1 << 62, len(keys))
+    prints[0:3] = [1, 3, 7]
+    for size in (7, 50, 1000):
+        batches = [pa.record_batch({"key": keys[k:k + size], "fp": prints[k:k + size]}) for k in range(0, len(keys), size)]
+        out = [r for b in simhash._search(4, 24)(iter(batches)) for r in b.to_pylist()]
+        left = sorted((r["key"], r["a"]) for r in out if r["key"] is not None)
+        assert left == sorted((int(k), int(p)) for k, p in zip(keys, prints) if sizes[k] > 24)
+        found = {(r["a"], r["b"]) for r in out if r["key"] is None}
+        assert {(3, 1), (7, 3)} <= found or {(3, 1), (7, 1)} <= found
