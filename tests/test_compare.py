@@ -195,3 +195,55 @@ def test_weak_beats_strong(spark, strength):
 def test_split(spark):
     split = di.heldout_split(_answers(spark), mod=2)
     assert {(r.item_id, r.heldout) for r in split.collect()} == {(0, True), (1, False), (2, True)}
+
+
+def test_spread_of_many_models(spark):
+    """All models of a selection count, however many there are."""
+    table = models(spark, *[{"id": k, "theta": [v, 0.5]} for k, v in enumerate((0.3, 0.0, 0.4, 0.8, None))])
+    axis = skills(spark, {"id": 0}, {"id": 1})
+    selections = spark.createDataFrame([(7, s, s) for s in range(5)], "request_id long, slot long, model_id long")
+    assert rows(co.skill_spread(selections, table, axis)) == [(7, 0, 0.0, 0.8, 0.8), (7, 1, 0.5, 0.5, 0.0)]
+    assert rows(co.divergent_skills(selections, table, axis, k=1)) == [(7, 1, 0, 0.8)]
+    assert rows(co.lead_counts(selections, table, axis)) == [(7, 1, 0, 2)]
+
+
+def test_divergent_skills_are_ranked_in_the_row(spark):
+    frame = co.divergent_skills(
+        spark.createDataFrame([], "request_id long, slot long, model_id long"),
+        models(spark, {"id": 0, "theta": [0.5]}), skills(spark, {"id": 0}))
+    tree = frame._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Window" not in tree
+
+
+def test_the_whole_accuracy_job(spark, tmp_path):
+    table = models(spark, {"id": 10, "hf_id": "a"}, {"id": 11, "hf_id": "b"}, {"id": 12, "hf_id": None})
+    listed = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "pos long, hf_id string")
+    answers = responses(spark, (0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 1, 0))
+    path = str(tmp_path / "out")
+    summary = re.enrich_models(table, answers, listed, path)
+    assert rows(spark.read.parquet(path), "id", "accuracy") == [(10, 0.5), (11, 1.0), (12, 0.0)]
+    assert rows(summary) == [(3, 0.0, 1.0, 0.5)]
+    assert rows(re.by_model(answers, table), "model_id", "item_id", "correct")[:2] == [(10, 0, 1), (10, 1, 0)]
+    for bad in ((responses(spark, (0, 0, 5), (1, 0, 1), (2, 0, 1)), listed), (answers, listed.where("pos < 2")),
+                (answers, spark.createDataFrame([(0, "b"), (1, "a"), (2, None)], "pos long, hf_id string"))):
+        with pytest.raises(ValueError):
+            re.enrich_models(table, bad[0], bad[1], str(tmp_path / "refused"))
+    assert not (tmp_path / "refused").exists()
+
+
+def test_repeated_hub_ids_are_refused(spark):
+    table = models(spark, {"id": 1, "hf_id": "a"}, {"id": 2, "hf_id": "a"})
+    once = spark.createDataFrame([(0, "a")], "pos long, hf_id string")
+    answers = responses(spark, (0, 0, 1), (1, 0, 0))
+    assert rows(re.attach_accuracy(table, answers, once), "id", "accuracy") == [(1, 1.0), (2, 1.0)]
+    twice = spark.createDataFrame([(0, "a"), (1, "a")], "pos long, hf_id string")
+    with pytest.raises(Exception, match="two respondents"):
+        re.attach_accuracy(table, answers, twice).collect()
+
+
+def test_unmatched_responses(spark):
+    table = models(spark, {"id": 1, "theta": [0.5]})
+    known = items(spark, (1, 0, "MATH", "a", 1.0, 0.0))
+    answers = responses(spark, (1, 1, 1), (1, 9, 1), (8, 1, 0))
+    assert rows(di.unmatched_responses(answers, known, table)) == [(3, 1, 1)]
+    assert di.irt_probability(answers, known, table).count() == 1
