@@ -25,10 +25,10 @@ from masteria.llm.rows import fresh, map_rows, texts_of
 from masteria.plans.storage import stored
 
 #: Bytes of content that a table holds: of a block of input, and of a bucket.
-BLOCK_BYTES = 32 << 20
-BUCKET_BYTES = 96 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 48 << 20
 #: Content that a bucket is meant to get.
-AIMED_BYTES = 32 << 20
+AIMED_BYTES = 16 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: ``rank`` and ``best``: the largest rank in the block, and the row that has it.

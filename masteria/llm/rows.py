@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows held before an output batch is handed to Spark.
-FLUSH_ROWS = 4096
+#: Rows of texts that are handed to Python, or back to Spark, at a time: texts can be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def columns_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield from zip(*(column.to_pylist() for column in part.columns))
 
 
-def as_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = FLUSH_ROWS) -> Iterator[pa.RecordBatch]:
+def as_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Tuples to batches of the schema."""
     held: list[tuple] = []
     for row in rows:
@@ -51,7 +52,15 @@ def map_rows(frame: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return as_batches(function(row for batch in batches for row in columns_of(batch)), schema)
 
-    return frame.mapInArrow(run, ddl(schema))
+    return in_small_batches(frame).mapInArrow(run, ddl(schema))
+
+
+def in_small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, in a session that sends at most ``BATCH_ROWS`` rows at a time to Python."""
+    conf = frame.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return frame
 
 
 _KINDS = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean",

@@ -132,17 +132,18 @@ def _search(within: int, bucket: int | None):
             [pa.array(prints.view(np.int64)), pa.nulls(len(prints), pa.int64()), pa.array(keys)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints, too_large = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held, n, too_large = [], 0, None
         for batch in batches:
-            keys = np.concatenate((keys, batch.column("key").to_numpy()))
-            prints = np.concatenate((prints, batch.column("fp").to_numpy().view(np.uint64)))
-            if len(keys) and keys[0] == too_large:  # the bucket goes on
-                n = int(np.searchsorted(keys, too_large, "right"))
-                yield left_over(keys[:n], prints[:n])
-                keys, prints = keys[n:], prints[n:]
-            if len(keys) < ROWS:
+            held.append((batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)))
+            n += batch.num_rows
+            if n < ROWS:
                 continue
-            last = int(np.searchsorted(keys, keys[-1], "left"))  # its bucket may go on
+            keys, prints = (np.concatenate(side) for side in zip(*held))
+            if keys[0] == too_large:  # the bucket goes on
+                more = int(np.searchsorted(keys, too_large, "right"))
+                yield left_over(keys[:more], prints[:more])
+                keys, prints = keys[more:], prints[more:]
+            last = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0  # its bucket may go on
             if last:
                 yield from split(keys[:last], prints[:last])
             keys, prints = keys[last:], prints[last:]
@@ -150,8 +151,13 @@ def _search(within: int, bucket: int | None):
                 too_large = keys[0]
                 yield left_over(keys, prints)
                 keys, prints = keys[:0], prints[:0]
-        if len(keys):
-            yield from split(keys, prints)
+            held, n = [(keys, prints)], len(keys)
+        if n:
+            keys, prints = (np.concatenate(side) for side in zip(*held))
+            more = int(np.searchsorted(keys, too_large, "right")) if keys[0] == too_large else 0
+            if more:
+                yield left_over(keys[:more], prints[:more])
+            yield from split(keys[more:], prints[more:])
 
     def split(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         if bucket:
