@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masteria.llm.rows import as_batches, columns_of, ddl, fresh, with_few
+from masteria.llm.rows import as_batches, columns_of, ddl, fresh, in_small_batches, with_few
 from masteria.plans.storage import stored
 
 WINDOW = 8
@@ -41,10 +41,12 @@ PRIORS = (5.0, 0.02, 0.2, 0.1, 0.0, 0.0)
 LEAST_DEVIATION = (0.05, 0.05, 0.06, 0.05, 0.08, 0.08)
 #: Coordinates are whole numbers of this unit, so that sums do not depend on the order of the rows.
 UNIT = 4096
-#: Classes of distance are this many to a doubling; texts of a group that is estimated by itself; most steps.
+#: Classes of distance are this many to a doubling; texts of a group that is estimated by itself.
 CLASSES = 16
 LEAST_TEXTS = 400
+#: Most concentration steps, and the mean change of a group's log determinant at which they end.
 STEPS = 12
+SETTLED = 0.01
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], dtype=np.uint64)
 
 _STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()),
@@ -192,7 +194,7 @@ def text_statistics(docs: DataFrame, doc_id: str | None = "doc_id", text: str =
         return as_batches(((i, a, b, *(s := statistics(t))[:5], *s[5]) for i, t, a, b in rows), _STATS)
 
     word = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return (docs.select((F.lit(None) if doc_id is None else F.col(doc_id)).cast("long").alias("doc_id"), word.alias("text"),
+    return (in_small_batches(docs).select((F.lit(None) if doc_id is None else F.col(doc_id)).cast("long").alias("doc_id"), word.alias("text"),
                         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"))))
             .mapInArrow(run, ddl(_STATS)))
 
@@ -220,8 +222,8 @@ def estimates(grouped: DataFrame, support: float = 0.75) -> DataFrame:
         close = F.floor(F.log2(distance() + 1e-6) * CLASSES).cast("int")
         classes = with_few(grouped, model, "group").withColumn("class", close).groupBy("group", "class").agg(*sums)
         model = stored(classes.groupBy("group").applyInPandas(step, _MODEL), "model")
-        before, measure = measure, model.agg(F.sum(F.round("log_det", 6).cast("decimal(30, 6)"))).first()[0]
-        if measure is None or before == measure:
+        before, measure = measure, model.agg(F.avg(F.round("log_det", 6).cast("decimal(30, 6)"))).first()[0]
+        if measure is None or before is not None and abs(measure - before) < SETTLED:
             break
     return model
 
