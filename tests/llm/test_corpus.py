@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from masteria.llm import chat, fixity, graph, robust_quality, simhash
+from masteria.llm import chat, fixity, graph, near_copies, robust_quality, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -112,6 +112,52 @@ def test_near_odd(spark, odd_docs, no_docs):
     assert simhash.without_near_copies(no_docs).count() == 0
 
 
+def _set(text):
+    words = brute.WORD.findall(brute.lower(text or ""))
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("chunk", [512, 4])
+def test_near_copies_by_shingles(spark, given, odd_rows, chunk):
+    """The stage keeps one row of all that a Jaccard similarity of 0.8 on five-word shingles joins, and nothing less."""
+    rng = random.Random(4)
+    rows = [(i, t) for i, t in odd_rows if len(t or "") < 1000] + [(i + 1000, t) for i, t in given[:60]]
+    for k in range(12):  # a changed word takes away five of 200 shingles and brings as many
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(204)]
+        for c in range(6):
+            other = list(words)
+            for at in rng.sample(range(0, 200, 6), rng.randrange(9)):
+                other[at] = "changed"
+            rows.append((2000 + 10 * k + c, " ".join(other)))
+    sets = [_set(t) for _, t in rows]
+    label = brute.components(sets, _similar)
+    smallest = {}
+    for (i, _), k in zip(rows, label):
+        smallest[k] = min(i, smallest.get(k, i))
+    prints = [simhash.fingerprint(t or "") for _, t in rows]
+    assert any(_similar(sets[i], sets[j]) and (prints[i] ^ prints[j]).bit_count() > 4 for i in range(len(rows)) for j in range(i))
+    docs = _docs(spark, rows).repartition(3)
+    if chunk == 512:
+        left = corpus_pipeline.near_copies(spark, docs, FOLDER)
+    else:
+        left = near_copies.without_near_copies(docs, chunk=chunk)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(smallest.values())
+
+
+def test_sketches_meet():
+    """Sets with the least similarity share a band, and agree on more values than the bound."""
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        values = rng.integers(0, 1 << 64, 222, dtype=np.uint64)
+        a, b = near_copies.sketch(values[:200]), near_copies.sketch(values[22:222])
+        same = a == b
+        assert same.sum() >= near_copies.AGREE and same.reshape(near_copies.BANDS, near_copies.BAND).all(axis=1).any()
+
+
 # Quality --------------------------------------------------------------------------------------------
 
 def test_base_statistics(spark, given, odd_rows):
