@@ -2,8 +2,8 @@
 
 Three fixed kinds of candidates are searched for, and a broader one, long mixed runs of characters.
 The value of every candidate is hashed; a hash is counted by distinct repositories and owners. A value
-found with many owners is a widely copied example; one that a single owner has looks live. Candidates of
-the broad kind count as secrets only if they look live.
+found with many owners is a widely copied example; one that a single owner has looks live. The scan reports candidates of
+the broad kind only if they look live; what is redacted are candidates of all kinds that are no examples.
 """
 
 from __future__ import annotations
@@ -96,9 +96,8 @@ def ownership(scan: DataFrame, widely: int = WIDELY) -> DataFrame:
 
 
 def judged(scan: DataFrame, owners: DataFrame) -> DataFrame:
-    """Every candidate of every row with the verdict on its hash, without those of the broad kind that do not look live."""
-    return (scan.select("row", F.explode("found").alias("c")).select("row", "c.*").join(owners, "hash")
-            .where((F.col("kind") < BASE_KINDS) | F.col("live")))
+    """Every candidate of every row with the verdict on its hash."""
+    return scan.select("row", F.explode("found").alias("c")).select("row", "c.*").join(owners, "hash")
 
 
 def scan_secrets(docs: DataFrame, repository: Column, owner: Column, widely: int = WIDELY, doc_id: str = "doc_id",
@@ -110,7 +109,7 @@ def scan_secrets(docs: DataFrame, repository: Column, owner: Column, widely: int
     a name. Repeated rows and null ids are kept apart. An empty table gives no rows; other columns are not read.
     """
     scan = scanned(docs, repository, owner, doc_id, text)
-    verdicts = judged(scan, stored(ownership(scan, widely), "owners"))
+    verdicts = judged(scan, stored(ownership(scan, widely), "owners")).where((F.col("kind") < BASE_KINDS) | F.col("live"))
     names = F.array(*(F.lit(k) for k in KINDS))
     per_row = (verdicts.groupBy("row")
                .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),

@@ -299,3 +299,12 @@ def test_redacted(spark, odd_docs, no_docs):
     assert secret_scan.redacted(no_docs, F.col("source"), F.col("source")).count() == 0
     assert secret_scan.scan_secrets(odd_docs, F.col("lang"), F.col("source")).count() == odd_docs.count()
     assert secret_scan.scan_secrets(no_docs, F.col("lang"), F.col("source")).count() == 0
+
+
+def test_mixed_value_with_two_owners(spark):
+    """A mixed value in two sources is no example, so it is redacted; with three it is one and stays."""
+    two, three = "Ab3dEf6hIj9lMn2pQr5t", "Zz9dEf6hIj9lMn2pQr5t"
+    rows = [(k, f"key {three}" + (f" {two} end" if k < 2 else ""), "a", f"s{k}", None) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs, F.col("source"), F.col("source")).collect()}
+    assert out == {0: f"key {three} [SECRET] end", 1: f"key {three} [SECRET] end", 2: f"key {three}"}
