@@ -44,9 +44,9 @@ UNIT = 4096
 #: Classes of distance are this many to a doubling; texts of a group that is estimated by itself.
 CLASSES = 16
 LEAST_TEXTS = 400
-#: Most concentration steps, and the mean change of a group's log determinant at which they end.
+#: Most concentration steps; they end before when no group's log determinant changes by as much as this.
 STEPS = 12
-SETTLED = 0.01
+SETTLED = 1e-6
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], dtype=np.uint64)
 
 _STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()),
@@ -217,13 +217,14 @@ def estimates(grouped: DataFrame, support: float = 0.75) -> DataFrame:
     model = stored(counts.groupBy("group").applyInPandas(_start, _MODEL), "start")
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in X),
             *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i, j in PAIRS)]
-    measure, step = None, _concentrate(support)
+    step = _concentrate(support)
     for _ in range(STEPS):
         close = F.floor(F.log2(distance() + 1e-6) * CLASSES).cast("int")
         classes = with_few(grouped, model, "group").withColumn("class", close).groupBy("group", "class").agg(*sums)
+        before = model.select("group", F.col("log_det").alias("before"))
         model = stored(classes.groupBy("group").applyInPandas(step, _MODEL), "model")
-        before, measure = measure, model.agg(F.avg(F.round("log_det", 6).cast("decimal(30, 6)"))).first()[0]
-        if measure is None or before is not None and abs(measure - before) < SETTLED:
+        change = model.join(before, "group").agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
+        if change is None or change < SETTLED:
             break
     return model
 

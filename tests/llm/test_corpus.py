@@ -201,6 +201,19 @@ def test_estimates_resist_outliers(spark):
     assert np.abs(scatter - np.cov(clean.T)).max() < 0.05
 
 
+def test_estimates_do_not_depend_on_other_groups(spark):
+    """Concentration steps go on until every group has settled, however many others have."""
+    rng = np.random.default_rng(3)
+    slow = np.concatenate([rng.normal(2.0, 0.5, (700, robust_quality.P)), rng.normal(3.5, 0.5, (500, robust_quality.P))])
+    quick = rng.normal(2.0, 0.01, (40, robust_quality.P))
+    rows = [("slow", *map(int, np.round(x * robust_quality.UNIT))) for x in slow]
+    others = [(f"q{k}", *map(int, np.round(x * robust_quality.UNIT))) for k in range(100) for x in quick]
+    schema = "group string, " + ", ".join(f"{c} long" for c in robust_quality.X)
+    one, many = (robust_quality.estimates(spark.createDataFrame(r, schema).repartition(4)).where("group = 'slow'").first()
+                 for r in (rows, rows + others))
+    assert one == many
+
+
 def test_chi_square():
     assert abs(robust_quality.chi_square_quantile(0.95, 6) - 12.5916) < 1e-3
     assert abs(robust_quality.chi_square_quantile(0.99, 5) - 15.0863) < 1e-3
