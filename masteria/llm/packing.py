@@ -54,7 +54,7 @@ class TextIds:
                 None, "ByteLevel", False, True, "BPE") or made != sorted(made):
             raise ValueError(f"{path}: not a byte-level BPE in the order of its merges")
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        to_byte = _bytes_of_characters()
+        to_byte = byte_characters()
         ranks = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
@@ -63,7 +63,7 @@ class TextIds:
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
-def _bytes_of_characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The characters that stand for bytes: printable ones for themselves, the others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in printable]

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masteria.functions.theta import let
-from masteria.llm import (byte_bpe, chat, exact_dedup, fingerprints, fixity, packing, periodic_runs, robust_quality, secret_scan,
-                          sharding, simhash, token_count)
+from masteria.llm import (alignment, byte_bpe, chat, exact_dedup, fingerprints, fixity, packing, periodic_runs, robust_quality,
+                          secret_scan, sharding, simhash, token_count)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,9 +103,15 @@ def op12_merkle_fingerprints(spark, folder):
     return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
 
 
+def op13_token_alignment(spark, folder):
+    return alignment.token_links(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup, op2_minimax_shards, op3_cost_packing, op4_merkle_fixity, op5_secret_ownership, op6_simhash,
-    op7_token_counts, op8_prefix_tree, op9_robust_quality, op10_byte_bpe, op11_periodic_runs, op12_merkle_fingerprints)}
+    op7_token_counts, op8_prefix_tree, op9_robust_quality, op10_byte_bpe, op11_periodic_runs, op12_merkle_fingerprints,
+    op13_token_alignment)}
 
 #: SQL over the same tables. Texts that are null count as empty.
 ORACLE: dict[str, str] = {
