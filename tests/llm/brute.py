@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import xxhash
 
@@ -89,3 +91,55 @@ def conversations(rows):
         out[conv] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(),
                      len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
     return out
+
+
+def runs(words, least=24):
+    """``start, length, period`` of every run, by trying every period at every place."""
+    found = []
+    for q in range(1, len(words) // 3 + 1):
+        start = None
+        for i in range(len(words) - q + 1):
+            if i < len(words) - q and words[i] == words[i + q]:
+                start = i if start is None else start
+            elif start is not None:
+                length, first = i - start + q, start
+                start = None
+                if length >= max(least, 3 * q):
+                    stretch = words[first:first + length]
+                    if not any(stretch[p:] == stretch[:-p] for p in range(1, q)):
+                        found.append((first, length, q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def with_planted_run(doc_id, words):
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def runs_row(doc_id, words):
+    """What the query on runs returns for one document."""
+    found = runs(words)
+    dropped = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else (None, None, None)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    return (doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None,
+            digest("".join(f"{s},{n},{q}\n" for s, n, q in found)), digest(" ".join(w for i, w in enumerate(words) if i not in dropped)))
+
+
+def alignment(text, a_ids, b_ids, a_bytes, b_bytes):
+    """Groups as text and the number of times each pair is linked; nothing where bytes are not given back."""
+    whole = (" " + text).encode()
+    if not text or b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        return [], Counter()
+    ends = [[sum(map(len, of[:k + 1])) for k in range(len(of))] for of in (a_bytes, b_bytes)]
+    groups, links, low = [], Counter(), 0
+    for cut in sorted(set(ends[0]) & set(ends[1])):
+        a, b = ([i for i, e in zip(ids, end) if low < e <= cut] for ids, end in zip((a_ids, b_ids), ends))
+        groups.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+        links.update((x, y) for x in a for y in b)
+        low = cut
+    return groups, links
