@@ -3,12 +3,14 @@
 Each text gives a vector of transformed statistics. For every language and source the location and
 scatter of its texts are estimated by the minimum covariance determinant: the share ``support`` of
 the texts whose scatter has the smallest determinant. The search starts from coordinate-wise
-medians and deviations and repeats concentration steps (distances from the current estimate, then
-the estimate of the nearest texts) until the estimates stay. A text is rejected if its Mahalanobis
-distance from the estimate of its group is beyond a quantile of the chi-square distribution.
-
-Every step is one aggregation over all texts: the sums of a group are taken by classes of distance, so that
-one pass gives both the distance that holds the wanted share and the sums within it. Groups with few
+medians and deviations and repeats concentration steps: distances from the current estimate, then
+the estimate of the nearest texts, exactly the wanted number of them. Least deviations are added to every scatter in the same
+way, so a step never makes the determinant larger; a group has settled when a step does not make it smaller. A text is
+rejected if its Mahalanobis distance from the estimate of its group is beyond a quantile of the chi-square distribution.
+
+A step puts the texts of a group in order, by distance, then by a hash of the vector. In a group that is too large for one task
+the sums are first taken by classes of distance, which tells the class in which the wanted number is reached. Only that class
+is looked at again, by finer classes, until it is small enough. Groups with few
 texts use the texts of their language, and these all texts, in the same way.
 """
 
@@ -43,10 +45,9 @@ LEAST_DEVIATION = (0.05, 0.05, 0.06, 0.05, 0.08, 0.08)
 UNIT = 4096
 #: Classes of distance are this many to a doubling; texts of a group that is estimated by itself.
 CLASSES = 16
-LEAST_TEXTS = 400
-#: Most concentration steps; they end before when no group's log determinant changes by as much as this.
-STEPS = 12
-SETTLED = 1e-6
+LEAST_TEXTS = 50
+#: Different vectors of a group, or of one of its classes, that are put in order by one task.
+GATHER = 4096
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], dtype=np.uint64)
 
 _STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()),
@@ -160,23 +161,43 @@ def _start(key: tuple, classes: pd.DataFrame) -> pd.DataFrame:
     return _model(key[0], centre, np.diag(deviation ** 2))
 
 
-def _concentrate(support: float):
+#: What is added up of a set of texts.
+SUMS = ["n", *X, *(f"p{i}_{j}" for i, j in PAIRS)]
+_CUT = "`group` string, `class` long, need long, vectors long, below array<long>"
+#: Digits of the two keys by which texts are ordered: the first, signed, from this bit on, the others of so many bits.
+_FIRST, _BITS = 48, 12
+_LEVELS = 1 + _FIRST // _BITS
+
+
+def _boundary(key: tuple, classes: pd.DataFrame) -> pd.DataFrame:
+    """The class of one group in which the wanted number of texts is reached, and the sums of those below it."""
+    classes = classes.sort_values("class")
+    upto = classes["n"].cumsum().to_numpy()
+    need, before = int(classes["need"].iloc[0]), classes["below"].iloc[0]
+    at = int(np.searchsorted(upto, need))
+    below = [int(classes[c].iloc[:at].sum()) + int(before[k]) for k, c in enumerate(SUMS)]
+    return pd.DataFrame({"group": [key[0]], "class": [int(classes["class"].iloc[at])], "need": [need - int(upto[at - 1] if at else 0)],
+                         "vectors": [int(classes["vectors"].iloc[at])], "below": [below]})
+
+
+def _estimate(support: float):
     factor = support / chi_square(chi_square_quantile(support, P), P + 2)
 
-    def step(key: tuple, classes: pd.DataFrame) -> pd.DataFrame:
-        """The estimate of the nearest texts of one group, from the sums by class of distance."""
-        classes = classes.sort_values("class")
-        within = classes["n"].cumsum().to_numpy()
-        last = int(np.searchsorted(within, math.ceil(support * within[-1])))
-        near = classes.iloc[:last + 1]
-        n = int(near["n"].sum())
-        centre = np.array([int(near[c].sum()) for c in X]) / n / UNIT
+    def estimate(key: tuple, rows: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        """The estimate of the nearest texts of one group: those below its boundary class and the first of that class."""
+        rows = rows.sort_values(["near", "hash", *X])
+        before = rows["n"].cumsum() - rows["n"]
+        n = np.minimum(rows["n"], int(cut["need"].iloc[0]) - before).clip(lower=0).to_numpy()
+        x = [rows[c].to_numpy() for c in X]
+        inside = [n.sum(), *((n * v).sum() for v in x), *((n * x[i] * x[j]).sum() for i, j in PAIRS)]
+        of = dict(zip(SUMS, (int(a) + int(b) for a, b in zip(cut["below"].iloc[0], inside))))
+        centre = np.array([of[c] for c in X]) / of["n"] / UNIT
         scatter = np.zeros((P, P))
         for i, j in PAIRS:
-            scatter[i, j] = scatter[j, i] = int(near[f"p{i}_{j}"].sum()) / n / UNIT ** 2 - centre[i] * centre[j]
+            scatter[i, j] = scatter[j, i] = of[f"p{i}_{j}"] / of["n"] / UNIT ** 2 - centre[i] * centre[j]
         return _model(key[0], centre, factor * scatter + np.diag(np.square(LEAST_DEVIATION)))
 
-    return step
+    return estimate
 
 
 def distance(x: Callable[[str], Column] = F.col, centre: str = "centre", precision: str = "precision") -> Column:
@@ -210,23 +231,64 @@ def groups_of(stats: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
                     .when(F.col("few_n") >= least, F.to_json(F.array("lang"))).otherwise(F.lit("[]")).alias("group")))
 
 
-def estimates(grouped: DataFrame, support: float = 0.75) -> DataFrame:
-    """Centre and precision of every ``group`` of ``grouped``, which has the coordinates of texts that count."""
-    values = grouped.select("group", F.posexplode(F.array(*X)).alias("coordinate", "value"))
-    counts = values.groupBy("group", "coordinate", "value").agg(F.count(F.lit(1)).alias("n"))
-    model = stored(counts.groupBy("group").applyInPandas(_start, _MODEL), "start")
-    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in X),
-            *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i, j in PAIRS)]
-    step = _concentrate(support)
-    for _ in range(STEPS):
-        close = F.floor(F.log2(distance() + 1e-6) * CLASSES).cast("int")
-        classes = with_few(grouped, model, "group").withColumn("class", close).groupBy("group", "class").agg(*sums)
-        before = model.select("group", F.col("log_det").alias("before"))
-        model = stored(classes.groupBy("group").applyInPandas(step, _MODEL), "model")
-        change = model.join(before, "group").agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
-        if change is None or change < SETTLED:
+def _digit(level: int) -> Column:
+    key, place = F.col("near" if level < _LEVELS else "hash"), level % _LEVELS
+    digits = F.shiftright(key, _FIRST - _BITS * place)
+    return digits if place == 0 else digits.bitwiseAND(F.lit((1 << _BITS) - 1))
+
+
+def _join(frame: DataFrame, groups: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    return frame.join(F.broadcast(groups) if few else groups, "group", how)
+
+
+def _step(vectors: DataFrame, model: DataFrame, wholes: DataFrame, few: bool, large: bool, gather: int, support: float) -> DataFrame:
+    """The estimates of the texts nearest to those of ``model``; ``wholes`` has what is wanted of each group."""
+    near = F.floor(F.log2(distance() + 1e-6) * (CLASSES * float(1 << _FIRST)))
+    rows = (_join(vectors, model.select("group", "centre", "precision"), few)
+            .select("group", *X, "n", near.alias("near"), F.xxhash64(*X).alias("hash")))
+    n = F.col("n")
+    sums = [F.sum(n).alias("n"), *(F.sum(n * F.col(c)).alias(c) for c in X),
+            *(F.sum(n * F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i, j in PAIRS), F.count(F.lit(1)).alias("vectors")]
+    cut = _join(wholes, model.select("group"), few, "left_semi")
+    for level in range(2 * _LEVELS if large else 0):
+        wide = cut.where(F.col("vectors") > gather)
+        classes = _join(rows, wide.select("group"), few, "left_semi").groupBy("group", _digit(level).alias("class")).agg(*sums)
+        classes = _join(classes, wide.select("group", "need", "below"), few)
+        finer = stored(classes.groupBy("group").applyInPandas(_boundary, _CUT), "cut")
+        if (widest := finer.agg(F.max("vectors")).first()[0]) is None:
             break
-    return model
+        rows = (_join(rows, finer.select("group", "class"), few, "left")
+                .where(F.col("class").isNull() | (_digit(level) == F.col("class"))).drop("class"))
+        cut = cut.where(F.col("vectors") <= gather).unionByName(finer)
+        if widest <= gather:
+            break
+    return rows.groupBy("group").cogroup(cut.groupBy("group")).applyInPandas(_estimate(support), _MODEL)
+
+
+def estimates(grouped: DataFrame, support: float = 0.75, gather: int = GATHER, few: int = 20_000) -> DataFrame:
+    """Centre and precision of every ``group`` of ``grouped``, which has the coordinates of texts that count.
+
+    ``gather``: different vectors of one group that are put in order by one task. The result does not depend on it.
+    ``few``: groups whose estimates are sent to all tasks; more are dealt by group.
+    """
+    vectors = stored(grouped.groupBy("group", *X).agg(F.count(F.lit(1)).alias("n")), "vectors")
+    nothing = F.array_repeat(F.lit(0).cast("long"), len(SUMS))
+    wholes = stored(vectors.groupBy("group").agg(
+        F.lit(None).cast("long").alias("class"), F.ceil(F.sum("n") * support).alias("need"),
+        F.count(F.lit(1)).alias("vectors")).withColumn("below", nothing), "wholes")
+    groups, widest = wholes.agg(F.count(F.lit(1)), F.max("vectors")).first()
+    values = vectors.select("group", "n", F.posexplode(F.array(*X)).alias("coordinate", "value"))
+    counts = values.groupBy("group", "coordinate", "value").agg(F.sum("n").alias("n"))
+    model = counts.groupBy("group").applyInPandas(_start, _MODEL)
+    model = stored(model.withColumns({"log_det": F.lit(float("inf")), "moved": F.lit(True)}), "start")
+    while not model.where("moved").isEmpty():
+        new = _step(vectors, model.where("moved"), wholes, groups <= few, (widest or 0) > gather, gather, support)
+        new = new.select("group", *(F.col(c).alias(f"new_{c}") for c in ("centre", "precision", "log_det")))
+        smaller = F.coalesce(F.col("new_log_det") < F.col("log_det"), F.lit(False))
+        model = stored(model.join(new, "group", "left").select(
+            "group", *(F.when(smaller, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "precision", "log_det")),
+            smaller.alias("moved")), "model")
+    return model.drop("moved")
 
 
 def model_of(stats: DataFrame, support: float, least: int) -> DataFrame:
@@ -260,23 +322,28 @@ def _near(squared: Column, accepted: float) -> Column:
     return F.coalesce(squared <= chi_square_quantile(accepted, P), F.lit(False))
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_repeat_words", *X)]))
-def _of_texts(texts: pd.Series) -> pd.DataFrame:
-    rows = [(s[0], s[4], *s[5]) for s in map(statistics, texts)]
-    return pd.DataFrame(rows, columns=["n_words", "n_repeat_words", *X], dtype="int64")
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_repeat_words", *X)]))
+def _of_texts(texts: pa.Array) -> pa.Array:
+    rows = [(s[0], s[4], *s[5]) for s in map(statistics, texts.to_pylist())]
+    columns = zip(*rows) if rows else [[] for _ in range(2 + P)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["n_words", "n_repeat_words", *X])
 
 
 def without_outliers(docs: DataFrame, support: float = 0.75, accepted: float = 0.99999, text: str = "text",
                      lang: str = "lang", source: str = "source", least: int = LEAST_TEXTS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``robust_quality`` keeps. Texts are read twice, but not shuffled."""
-    stats = stored(text_statistics(docs, None, text, lang, source).drop("doc_id"), "stats")
+    """The rows of ``docs``, all columns, that ``robust_quality`` keeps, and it says what becomes of odd rows.
+
+    The rows are written once with the statistics of their texts; verdicts are then read from there, without a shuffle of texts.
+    """
     names = {c: fresh(f"model_{c}", docs) for c in ("lang", "source", "centre", "precision", "stats")}
-    models = model_of(stats, support, least)
-    models = stored(models.select(*(F.col(c).alias(names[c]) for c in models.columns)), "models")
+    keyed = in_small_batches(docs).withColumns({
+        names[k]: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("lang", lang), ("source", source))})
+    rows = stored(keyed.withColumn(names["stats"], _of_texts(F.coalesce(F.col(text).cast("string"), F.lit("")))), "judged")
     of = F.col(names["stats"])
+    models = model_of(rows.select(F.col(names["lang"]).alias("lang"), F.col(names["source"]).alias("source"),
+                                  *(of[c].alias(c) for c in ("n_words", "n_repeat_words", *X))), support, least)
+    models = stored(models.select(*(F.col(c).alias(names[c]) for c in models.columns)), "models")
     failed = base_failed(of["n_words"], of["n_repeat_words"])
     near = _near(distance(lambda c: of[c], names["centre"], names["precision"]), accepted)
-    keyed = docs.withColumns({names[k]: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("lang", lang), ("source", source))})
-    return (with_few(keyed, models, [names["lang"], names["source"]])
-            .withColumn(names["stats"], _of_texts(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return (with_few(rows, models, [names["lang"], names["source"]])
             .where(~failed & near).select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -1,6 +1,7 @@
 """Plain versions of what the operators compute, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -75,6 +76,61 @@ def secrets(text):
     return [(name, start, end) for start, _, name, end in sorted(found)]
 
 
+def mixed(text):
+    """Runs of 20 or more of their characters with a digit, a small and a large letter, clear of the fixed kinds."""
+    taken = {i for _, a, b in secrets(text) for i in range(a, b)}
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        v = m[0]
+        if (len(v) >= 20 and any("0" <= c <= "9" for c in v) and any("a" <= c <= "z" for c in v) and any("A" <= c <= "Z" for c in v)
+                and not taken & set(range(*m.span()))):
+            out.append(("mixed", *m.span()))
+    return out
+
+
+def jaccard_components(rows):
+    """doc_id -> smallest id of its component: all pairs of sets of five-word shingles, joined from a similarity of 0.8."""
+    sets = []
+    for _, text in rows:
+        words = WORD.findall(lower(text))
+        sets.append({" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
+
+    def near(a, b):
+        if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            return False
+        both = len(a & b)
+        return 5 * both >= 4 * (len(a) + len(b) - both)
+
+    label = components(sets, near)
+    smallest = {}
+    for (doc, _), k in zip(rows, label):
+        smallest[k] = min(doc, smallest.get(k, doc))
+    return {doc: smallest[k] for (doc, _), k in zip(rows, label)}
+
+
+def concentrated(x, support, least, factor):
+    """Centre and scatter of a minimum covariance determinant search from medians, with exactly the wanted number of rows."""
+    import numpy as np
+
+    def middle(values):
+        values = np.sort(values)
+        return values[-(-len(values) // 2) - 1]
+
+    ridge = np.diag(np.square(least))
+    h = math.ceil(support * len(x))
+    centre = np.array([middle(c) for c in x.T])
+    scatter = np.diag([max(d, 1.4826 * middle(np.abs(c - m))) ** 2 for c, m, d in zip(x.T, centre, least)])
+    smallest = np.inf
+    while True:
+        off = x - centre
+        far = np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off)
+        near = x[np.argsort(far, kind="stable")[:h]]
+        now = factor * np.cov(near.T, bias=True) + ridge
+        if np.linalg.slogdet(now)[1] >= smallest - 1e-12:
+            return centre, scatter
+        centre, scatter, smallest = near.mean(axis=0), now, np.linalg.slogdet(now)[1]
+
+
 def spans_digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 

@@ -183,6 +183,43 @@ def test_labelled_documents(spark):
     assert kept[1] > 0.995 and kept[0] < 0.05, rows
 
 
+def test_kept_against_a_plain_search(spark):
+    """Every language and source by itself, and pooled ones, against the same search over arrays."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for least, folder in ((30, FOLDER), (50, "/root/testdata/sf0.01"), (8, FOLDER)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        stats = [r.asDict() for r in robust_quality.text_statistics(docs).collect()]
+        groups = {(r["lang"], r["source"]): r["group"] for r in robust_quality.groups_of(spark.createDataFrame(stats), least).collect()}
+        good = lambda r: not (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
+        vector = lambda r: [r[c] / robust_quality.UNIT for c in robust_quality.X]
+        n, share = robust_quality.P, 0.75
+        factor = share / robust_quality.chi_square(robust_quality.chi_square_quantile(share, n), n + 2)
+        edge, want = robust_quality.chi_square_quantile(0.99999, n), {}
+        for name in set(groups.values()):
+            mine = [r for r in stats if groups[r["lang"], r["source"]] == name]
+            x = np.array([vector(r) for r in mine if good(r)])
+            if not len(x):
+                want |= {r["doc_id"]: False for r in mine}
+                continue
+            centre, scatter = brute.concentrated(x, share, robust_quality.LEAST_DEVIATION, factor)
+            inverse = np.linalg.inv(scatter)
+            for r in mine:
+                off = np.array(vector(r)) - centre
+                want[r["doc_id"]] = bool(good(r) and off @ inverse @ off <= edge)
+        got = {r["doc_id"]: r["kept"] for r in robust_quality.robust_quality(docs, least=least).collect()}
+        assert got == want
+
+
+def test_the_bound_of_a_task_does_not_change_estimates(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(2.0, 0.5, (900, robust_quality.P)), rng.normal(3.0, 0.2, (300, robust_quality.P)), np.full((400, robust_quality.P), 2.5)])
+    rows = [(f"g{k % 3}", *map(int, np.round(v * robust_quality.UNIT))) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "group string, " + ", ".join(f"{c} long" for c in robust_quality.X)).repartition(4)
+    want = sorted(robust_quality.estimates(frame).collect())
+    for gather, few in ((1, 20_000), (40, 0)):
+        assert sorted(robust_quality.estimates(frame, gather=gather, few=few).collect()) == want
+
+
 def test_estimates_resist_outliers(spark):
     rng = np.random.default_rng(2)
     unit = robust_quality.UNIT
@@ -339,16 +376,16 @@ def test_pipeline(spark):
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         last[brute.lower(t)] = i
     rows = [r for r in rows if last[brute.lower(r[1])] == r[0]]
-    near = brute.near_components([r[:2] for r in rows])
-    rows = [r for r in rows if near[r[0]][1] == r[0]]
+    near = brute.jaccard_components([r[:2] for r in rows])
+    rows = [r for r in rows if near[r[0]] == r[0]]
     owners = {}
     for i, t, lang, source in rows:
-        for kind, a, b in brute.secrets(t):
+        for kind, a, b in brute.secrets(t) + brute.mixed(t):
             owners.setdefault(_value(kind, t[a:b]), set()).add(source)
     tokenizer, want = Tokenizer.from_file(public.path("byte_bpe_50k.json")), {}
     for i, t, *_ in rows:
         at, out = 0, ""
-        for kind, a, b in brute.secrets(t):
+        for kind, a, b in sorted(brute.secrets(t) + brute.mixed(t), key=lambda s: s[1:]):
             if len(owners[_value(kind, t[a:b])]) < 3 and b > at:
                 out, at = (out + t[at:a] + "[SECRET]", b) if a >= at else (out, b)
         want[i] = len(tokenizer.encode(out + t[at:], add_special_tokens=False).ids) + 1
