@@ -2,8 +2,8 @@
 
 Three fixed kinds of candidates are searched for, and a broader one, long mixed runs of characters.
 The value of every candidate is hashed; a hash is counted by distinct repositories and owners. A value
-found with many owners is a widely copied example; one that a single owner has looks live. The scan reports candidates of
-the broad kind only if they look live; what is redacted are candidates of all kinds that are no examples.
+found with many owners is a widely copied example; one that a single owner has, in however many repositories, looks live. The
+scan reports candidates of the broad kind unless they are examples; what is redacted are candidates of all kinds that are no examples.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masteria.llm.rows import fresh, map_rows
+from masteria.plans.joins import lookup_join
 from masteria.plans.storage import stored
 
 KINDS = ("assign", "access", "hex", "mixed")
@@ -96,8 +97,8 @@ def ownership(scan: DataFrame, widely: int = WIDELY) -> DataFrame:
 
 
 def judged(scan: DataFrame, owners: DataFrame) -> DataFrame:
-    """Every candidate of every row with the verdict on its hash."""
-    return scan.select("row", F.explode("found").alias("c")).select("row", "c.*").join(owners, "hash")
+    """Every candidate of every row with the verdict on its hash. A value that a third of all rows share is dealt to many tasks."""
+    return lookup_join(scan.select("row", F.explode("found").alias("c")).select("row", "c.*"), owners, "hash")
 
 
 def scan_secrets(docs: DataFrame, repository: Column, owner: Column, widely: int = WIDELY, doc_id: str = "doc_id",
@@ -105,24 +106,26 @@ def scan_secrets(docs: DataFrame, repository: Column, owner: Column, widely: int
     """The secrets of every text, and how many of them are widely copied or look live.
 
     One row per input row: the numbers of the fixed kinds, the digest of their spans, all spans as text,
-    ``n_mixed``, ``n_examples``, ``n_live``. A null text has none; a null repository or owner counts as one without
+    ``n_mixed``, ``n_examples``, ``n_live``, and over how many repositories and owners the most widely found of its values is
+    spread (``most_repositories``, ``most_owners``; 0 without secrets). A null text has none; a null repository or owner counts as one without
     a name. Repeated rows and null ids are kept apart. An empty table gives no rows; other columns are not read.
     """
     scan = scanned(docs, repository, owner, doc_id, text)
-    verdicts = judged(scan, stored(ownership(scan, widely), "owners")).where((F.col("kind") < BASE_KINDS) | F.col("live"))
+    verdicts = judged(scan, stored(ownership(scan, widely), "owners")).where((F.col("kind") < BASE_KINDS) | ~F.col("example"))
     names = F.array(*(F.lit(k) for k in KINDS))
+    counts = ("n_mixed", "n_examples", "n_live", "most_repositories", "most_owners")
     per_row = (verdicts.groupBy("row")
                .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),
                     F.sum(F.when(F.col("kind") >= BASE_KINDS, 1).otherwise(0)).alias("n_mixed"),
-                    F.sum(F.col("example").cast("long")).alias("n_examples"), F.sum(F.col("live").cast("long")).alias("n_live"))
+                    F.sum(F.col("example").cast("long")).alias("n_examples"), F.sum(F.col("live").cast("long")).alias("n_live"),
+                    F.max("n_repositories").alias("most_repositories"), F.max("n_owners").alias("most_owners"))
                .select("row", F.concat_ws(",", F.transform("all", lambda c: F.concat_ws(
                    ":", names[c["kind"]], c["start"].cast("string"), c["end"].cast("string")))).alias("spans"),
-                       "n_mixed", "n_examples", "n_live"))
-    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_mixed", "n_examples", "n_live"]
+                       *counts))
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *counts]
     with_some = (scan.where(F.size("found") > 0).join(per_row, "row", "left")
-                 .fillna({"spans": "", "n_mixed": 0, "n_examples": 0, "n_live": 0}).select(*columns))
-    without = (scan.where(F.size("found") == 0)
-               .withColumns({"spans": F.lit(""), **{c: F.lit(0).cast("long") for c in ("n_mixed", "n_examples", "n_live")}}))
+                 .fillna({"spans": "", **{c: 0 for c in counts}}).select(*columns))
+    without = scan.where(F.size("found") == 0).withColumns({"spans": F.lit(""), **{c: F.lit(0).cast("long") for c in counts}})
     return without.select(*columns).unionByName(with_some)
 
 
@@ -151,7 +154,8 @@ def redacted(docs: DataFrame, repository: Column, owner: Column, widely: int = W
     """The rows of ``docs``, all columns, with secrets in texts replaced by ``REDACTED``.
 
     Values that are widely copied examples stay. ``length`` names a column with the text's code points; it follows
-    the new text.
+    the new text. A null text stays null; a null repository or owner counts as one without a name. Texts are searched whole.
+    Repeated rows stay, each redacted, and count once as owners. An empty table gives no rows.
     """
     row, spans = fresh("row", docs), fresh("secret_spans", docs)
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
