@@ -70,6 +70,30 @@ def serialised_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _bytes(2, trainer) + _bytes(3, normaliser)
 
 
+#: A pattern's classes, and a character that every library puts into this class.
+CLASSES = {r"\p{L}": "ж", r"\p{N}": "٣", r"\s": "\u2003"}
+OTHER = "§"
+_STAND_INS: list[dict[int, str]] = []
+
+
+def stand_ins() -> dict[int, str]:
+    """Characters that the splitter of tiktoken puts into another class than that of ``regex``, as the two know different
+    versions of Unicode, each with a character of the class in which tiktoken has it."""
+    import regex
+    import tiktoken
+
+    if not _STAND_INS:
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        single = {bytes([b]): b for b in range(256)}
+        of: dict[str, tuple[set[str], set[str]]] = {}
+        for name in CLASSES:
+            theirs = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+            of[name] = set(bytes(theirs.encode_ordinary(every)).decode("utf-8")), set(regex.findall(name, every))
+        differ = set().union(*(a ^ b for a, b in of.values()))
+        _STAND_INS.append({ord(c): next((CLASSES[n] for n in CLASSES if c in of[n][0]), OTHER) for c in differ})
+    return _STAND_INS[0]
+
+
 class ByteBpe:
     """Encodes and decodes whole texts; ``pattern`` cuts a text into pre-tokens."""
 
@@ -80,6 +104,8 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.ranks))
         self.pattern = regex.compile(pattern)
+        self.stand_ins = stand_ins()
+        self.strange = frozenset(map(chr, self.stand_ins))
         self.bytes_of = sorted(self.ranks, key=self.ranks.__getitem__)
         self.pretokens = Words(self.encode_pretoken, lambda pretoken: False)
         self.words = Words(self._word, ends_open)
@@ -93,7 +119,13 @@ class ByteBpe:
         return self.model.encode(raw.decode("latin-1").translate(TO_PIECE))
 
     def _encode(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.pattern.findall(chunk))))
+        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.cut(chunk))))
+
+    def cut(self, chunk: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if chunk.isascii() or self.strange.isdisjoint(chunk):
+            return self.pattern.findall(chunk)
+        return [chunk[m.start():m.end()] for m in self.pattern.finditer(chunk.translate(self.stand_ins))]
 
     def _word(self, word: str) -> tuple[int, ...]:
         if parts := lines_of(word):
@@ -148,7 +180,7 @@ def decoded(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, decode the identifiers again and return digests of both.
 
-    One row per input row, in one pass without a shuffle. A null or empty text has no identifiers. A null id
+    One row per input row, in one pass without a shuffle; texts are taken whole. A null or empty text has no identifiers. A null id
     stays null, repeated ids give repeated rows, an empty table gives none; other columns are not read.
     """
     def run(rows):

@@ -219,6 +219,18 @@ def test_merging_pops_the_lowest_rank():
     assert count_merged("é", {}, set()) == 2
 
 
+def test_byte_bpe_splits_new_characters_as_tiktoken():
+    """Letters that only one of the two libraries knows."""
+    theirs = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    codec, rng = byte_bpe.ByteBpe(RANKS, public.PATTERN), np.random.default_rng(5)
+    strange = list(map(chr, sorted(byte_bpe.stand_ins())))
+    texts = ["the's", "the\U000190ae's", "the's \U000190ae's re\U000190ae 1\U000190ae1"]
+    texts += ["".join(rng.choice([*rng.choice(strange, 4), *"a' s1é\n"], 12)) for _ in range(500)]
+    for text in texts:
+        ids = codec.encode(text)
+        assert ids == theirs.encode_ordinary(text) and codec.decode(ids).decode() == text
+
+
 def test_byte_bpe(spark, given, odd_rows):
     rows = _both(given, odd_rows)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
@@ -283,8 +295,36 @@ def test_ownership(spark):
     rows = [(k, f"token={value} {value[::-1] if k < 3 else ''}", f"r{k}", "one" if k < 2 else f"o{k}") for k in range(6)]
     docs = spark.createDataFrame(rows + [(9, "mine 9zAb3dEf6hIj9lMn2pQr", "r", "me")], "doc_id long, text string, repo string, owner string")
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs, F.col("repo"), F.col("owner")).collect()}
-    assert all(got[k]["n_examples"] == 1 and got[k]["n_live"] == 0 and got[k]["n_mixed"] == 0 for k in range(6))
+    assert all(got[k]["n_examples"] == 1 and got[k]["n_live"] == 0 and got[k]["n_mixed"] == (k < 3) for k in range(6))
     assert (got[9]["n_live"], got[9]["n_mixed"], got[9]["spans"]) == (1, 1, "mixed:5:25")
+    assert (got[0]["most_repositories"], got[0]["most_owners"], got[9]["most_repositories"], got[9]["most_owners"]) == (6, 5, 1, 1)
+
+
+def test_mixed_spans_against_brute_force(spark):
+    """Long mixed runs outside the fixed kinds are reported unless three owners have them."""
+    rng = np.random.default_rng(11)
+    letters = list("abcdefABCDEF0123456789+/_-")
+    values = ["".join(rng.choice(letters, rng.integers(15, 30))) for _ in range(30)]
+    rows = []
+    for k in range(200):
+        words = [f"token={values[i]}" if i % 7 == 0 else str(values[i]) for i in rng.integers(0, 30, 3)] + ["plain", "AKIA" + "Q1" * 9]
+        rows.append((k, " ".join(rng.permutation(words)), f"r{rng.integers(0, 4)}", f"o{rng.integers(0, 4) if k % 9 else k}"))
+    rows = [r for r in rows if r[0] > 8 or r[0] < 3]
+    found = {k: (brute.secrets(t), brute.mixed(t)) for k, t, _, _ in rows}
+    owners = {}
+    for k, t, _, owner in rows:
+        for kind, a, b in found[k][0] + found[k][1]:
+            value = t[a:b].split("=", 1)[1] if kind == "assign" else t[a:b]
+            owners.setdefault(value, set()).add(owner)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    for widely in (3, 30):
+        for r in secret_scan.scan_secrets(docs, F.col("repo"), F.col("owner"), widely).collect():
+            text = dict((k, t) for k, t, *_ in rows)[r["doc_id"]]
+            base, mixed = found[r["doc_id"]]
+            mixed = [m for m in mixed if len(owners[text[m[1]:m[2]]]) < widely]
+            order = {"assign": 0, "access": 1, "hex": 2, "mixed": 3}
+            want = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + mixed, key=lambda s: (s[1], order[s[0]])))
+            assert (r["spans"], r["n_mixed"], r["base_sha256"]) == (want, len(mixed), brute.spans_digest(base))
 
 
 def test_redacted(spark, odd_docs, no_docs):
