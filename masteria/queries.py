@@ -48,12 +48,13 @@ def _seen(models):
 
 
 def _as_array(frame, path, wrapper=None):
-    """Write a table as one JSON array in one file, as the forms for small inputs are."""
-    rows = frame.select(F.to_json(F.struct(*frame.columns)).alias("row"))
-    text = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ",\n"), F.lit("]"))
-    if wrapper:
-        text = F.concat(F.lit(f'{{"{wrapper}": '), text, F.lit("}"))
-    rows.agg(text.alias("value")).coalesce(1).write.text(path)
+    """Write a table as one JSON array: an element per line, by id, in as many files as there are tasks."""
+    key, json = F.col("id"), F.to_json(F.struct(*frame.columns))
+    first = frame.agg(F.min("id").alias("id")).scalar()
+    lines = frame.select(F.lit(1).alias("place"), key.alias("key"), F.concat(F.when(key == first, "").otherwise(","), json).alias("value"))
+    ends = frame.sparkSession.createDataFrame(
+        [(0, None, f'{{"{wrapper}": [' if wrapper else "["), (2, None, "]}" if wrapper else "]")], "place int, key long, value string")
+    lines.unionByName(ends).orderBy("place", "key").select("value").write.text(path)
 
 
 def read_models_array(spark, folder):

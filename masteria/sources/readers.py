@@ -1,58 +1,47 @@
 """Readers for models, skills, cells, the skill map, responses and items.
 
-A JSON file may be one array, one object that wraps the array, or one object per line. The first
-two are read whole, because a JSON array cannot be split; their rows carry ``ord``, the position in
-the array. JSON lines and Parquet are split freely and are the forms for large inputs; there
+A JSON file may be one array, one object that wraps the array, or one object per line. All forms are
+read by many tasks. Rows of arrays carry ``ord``, the position in the array (see ``arrays``); elsewhere
 the id gives the order. The form is seen from the beginning of the data unless it is named.
 
-Nothing is left out in silence: a second array file, an object without the array it should
+Nothing is left out in silence: a second array, an object without the array it should
 wrap, and anything after the end of the array are refused.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masteria.functions.theta import without_nan
 from masteria.schema import CELL, MAP_POINT, MODEL, RESPONDENT, SKILL
+from masteria.sources.arrays import elements, first_line
 
 FORMS = ("array", "wrapped", "lines", "parquet")
 
 
 def _form_of(spark: SparkSession, path: str, wrapper: str | None) -> str:
-    """The form of the data by its first line that is not blank."""
-    first = spark.read.text(path).where(F.trim("value") != "").select(
-        F.ltrim("value").alias("line"), F.get_json_object("value", "$").isNotNull().alias("complete"),
-        F.get_json_object("value", f"$.{wrapper}").isNotNull().alias("wraps") if wrapper else F.lit(False).alias("wraps"),
-    ).first()
-    if first is None or first.line.startswith("["):
+    """The form of the data by the beginning of its first line that is not blank."""
+    line, cut = first_line(spark, path)
+    if line is None or line.startswith("["):
         return "array"
-    if first.line.startswith("PAR1"):
+    if line.startswith("PAR1"):
         return "parquet"
-    return "wrapped" if wrapper and (first.wraps or not first.complete) else "lines"
-
-
-def _refused_unless(fits: Column, value: Column, message: str) -> Column:
-    return F.when(fits, value).otherwise(F.raise_error(F.lit(message)))
+    if not wrapper:
+        return "lines"
+    seen = spark.range(1).select(F.get_json_object(F.lit(line), "$").isNotNull(), F.get_json_object(F.lit(line), f"$.{wrapper}").isNotNull()).first()
+    wraps = seen[1] or (cut and re.search(rf'"{re.escape(wrapper)}"\s*:\s*\[', line) is not None)
+    return "wrapped" if wraps or not (seen[0] or cut) else "lines"
 
 
 def _read_array(spark: SparkSession, path: str, row: T.StructType, wrapper: str | None) -> DataFrame:
     """Rows of a JSON array, bare or under ``wrapper``, with their position."""
-    root = T.StructType([T.StructField(wrapper, T.ArrayType(row))]) if wrapper else T.ArrayType(row)
-    # Inside brackets, text after the end of the root is an error.
-    inside = F.concat(F.lit("["), F.col("value"), F.lit("]"))
-    roots = F.from_json(inside, T.ArrayType(root), {"mode": "FAILFAST"})
-    files = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-    n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
-    one = files.select(_refused_unless((n == 1) & (F.size(roots) == 1), F.get(roots, F.lit(0)),
-                                       f"{path}: one array in one file is read; use JSON lines or Parquet for more").alias("root"))
-    rows = F.col(f"root.{wrapper}") if wrapper else F.col("root")
-    name = f" under {wrapper!r}" if wrapper else ""
-    rows = _refused_unless(rows.isNotNull(), rows, f"{path}: there is no array{name}")
-    return one.select(F.posexplode(rows).alias("ord", "row")).select("row.*", F.col("ord").cast("bigint").alias("ord"))
+    parsed = F.from_json("text", row, {"mode": "FAILFAST"})
+    return elements(spark, path, wrapper).select(parsed.alias("row"), "ord").select("row.*", "ord")
 
 
 def _read(spark: SparkSession, path: str, row: T.StructType, wrapper: str | None, form: str | None) -> DataFrame:

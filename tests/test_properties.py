@@ -92,13 +92,14 @@ def test_top_models_equal_a_full_sort(spark):
     for seed, n, k in ((7, 60, 5), (8, 3, 5), (9, 60, 70)):
         table = _random_models(spark, seed, n, missing=0.3)
         by_id = {r.id: r.theta for r in table.collect()}
+        facets = {r.id: (r.family, r.tier, r.params) for r in table.collect()}
         want = []
         for s in range(9):
             values = {m: (t[s] if s < 8 and t[s] is not None else 0.0) for m, t in by_id.items()}
             first = sorted(values, key=lambda m: (-values[m], m))[:k]
-            want += [(s, i + 1, m, f"m{m}", values[m]) for i, m in enumerate(first)]
+            want += [(s, i + 1, m, f"m{m}", *facets[m], values[m]) for i, m in enumerate(first)]
         assert rows(po.top_models_per_skill(table.repartition(5), axis, k)) == want
-        assert rows(po.best_model_per_skill(table, axis)) == [(s, m, name, v) for s, r, m, name, v in want if r == 1]
+        assert rows(po.best_model_per_skill(table, axis)) == [(s, m, name, v) for s, r, m, name, *_, v in want if r == 1]
 
 
 def test_leads_and_ties_add_up(spark):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from masteria.operators.leaderboard import model_mean_theta
+from masteria.sources import arrays
 from masteria.sources import readers as rd
 from masteria.sources.writers import write_models
 from tables import models, rows
@@ -108,3 +109,46 @@ def test_write_models(spark, folder):
     assert rows(spark.read.parquet(f"{folder}/p")) == rows(table)
     with pytest.raises(ValueError):
         write_models(table, f"{folder}/x", "csv")
+
+
+TREES = ["a}{][,b", 'quo"te \\ back', '"models": [', "é日🙂}", "\n\t", "", '\\"}]', "[{"]
+
+
+def _tree(k):
+    return {"id": k, "label": TREES[k % len(TREES)] * (1 + k % 3), "example_items": [
+        {"item_idx": j, "text": TREES[(k + j) % len(TREES)], "benchmark": "}]"[j % 2:]} for j in range(k % 4)]}
+
+
+@pytest.mark.parametrize("wrapper, indent, n", [(None, None, 90), (None, 1, 40), ("skills", None, 60), ("skills", 2, 0), (None, None, 0), ("mixed", None, 30)])
+def test_arrays_are_split(spark, folder, wrapper, indent, n):
+    """Files are cut anywhere, inside strings and characters too; rows and their places stay."""
+    trees = [_tree(k) for k in range(n)]
+    root = {"meta": {"a": [{"b": {}}]}, "skills": trees, "more": [{"id": 5}]} if wrapper == "mixed" else {"skills": trees} if wrapper else trees
+    path = _write(folder, "tree", json.dumps(root, indent=indent, ensure_ascii=n % 20 == 10))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1001")
+        read = rd.read_skills(spark, path)
+        got = {r["ord"]: (r["id"], r["label"], [(i["item_idx"], i["text"], i["benchmark"]) for i in r["example_items"] or []]) for r in read.collect()}
+        texts = arrays.elements(spark, path, "skills" if wrapper else None)
+        if n > 20:
+            assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 3
+            assert texts.agg(F.max(F.length("text"))).first()[0] < 1200
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {k: (t["id"], t["label"], [(i["item_idx"], i["text"], i["benchmark"]) for i in t["example_items"]]) for k, t in enumerate(trees)}
+
+
+def test_array_over_several_files(spark, folder):
+    lines = ["[", *((", " if k else "") + json.dumps(_tree(k)) for k in range(20)), "]"]
+    spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "k int, value string").orderBy("k").select("value").write.text(f"{folder}/parts")
+    assert rows(rd.read_skills(spark, f"{folder}/parts"), "ord", "id") == [(k, k) for k in range(20)]
+
+
+@pytest.mark.parametrize("text", ['[{"id": 1}, 5, {"id": 2}]', '[{"id": 1} {"id": 2}]', '[1]', '[{"id": 1}', '[{"id": "x]', '{"models": [{"id": 1}]} {}',
+                                  '{"other": {"models": [{"id": 1}]}}'])
+def test_other_texts_are_refused(spark, folder, text):
+    with pytest.raises(Exception, match="one array|no array|MALFORMED|malformed"):
+        rd.read_models(spark, _write(folder, "odd", text), form="array" if text[0] == "[" else "wrapped").collect()
