@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masteria.operators.responses import attach_accuracy
+from masteria.operators.skillmap import skill_pca_map
 from masteria.operators.taxonomy import skill_statistics
 from masteria.sources.readers import responses_long
 
@@ -147,8 +148,6 @@ def placed_respondents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Points on a plane, one per embedding; most belong to no skill."""
-    return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        F.get("embedding", F.lit(0)).cast("double").alias("x"),
-        F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    """The skills on a plane, by their principal components."""
+    placed = skill_pca_map(models(spark, folder), theta_skills(spark, folder))
+    return placed.select(F.col("skill_id").alias("id"), "x", "y")

@@ -24,6 +24,31 @@ def _cut(label: str) -> str:
     return f"({units} >= 50 AND right({label}, 1) NOT IN ('.', '!', '?', ')', '…'))"
 
 
+def _first_axis(matrix: str, name: str, squarings: int = 14) -> str:
+    """``name(i, v)``: the eigenvector of the largest eigenvalue of ``matrix(i, j, v)``, by squaring it again and again."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})"]
+    for k in range(squarings):
+        steps += [f"{name}s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY ALL)",
+                  f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}s{k} WHERE i = j) AS v FROM {name}s{k})"]
+    last = f"{name}{squarings}"
+    # The column of the largest entry, so that this entry is positive.
+    top = f"(SELECT i, v FROM {last} WHERE i = j ORDER BY v DESC, i LIMIT 1) top"
+    return ", ".join([*steps, f"{name} AS MATERIALIZED (SELECT p.i, p.v / sqrt(top.v) AS v FROM {last} p JOIN {top} ON p.j = top.i)"])
+
+
+_MAP = f"""
+  SELECT * FROM (
+    WITH centred AS MATERIALIZED (SELECT model_id, skill_id, z - avg(z) OVER (PARTITION BY model_id) AS c FROM skill_cells),
+    m AS MATERIALIZED (SELECT a.skill_id AS i, b.skill_id AS j, sum(a.c * b.c) AS v FROM centred a JOIN centred b USING (model_id) GROUP BY ALL),
+    {_first_axis("m", "e")},
+    size AS (SELECT sum(a.v * m.v * b.v) AS v FROM m JOIN e a ON a.i = m.i JOIN e b ON b.i = m.j),
+    rest AS MATERIALIZED (SELECT m.i, m.j, m.v - size.v * a.v * b.v AS v FROM m JOIN e a ON a.i = m.i JOIN e b ON b.i = m.j, size),
+    {_first_axis("rest", "f")}
+    SELECT e.i AS skill_id, round((e.v - min(e.v) OVER ()) / (max(e.v) OVER () - min(e.v) OVER ()), 6) AS x,
+           round((f.v - min(f.v) OVER ()) / (max(f.v) OVER () - min(f.v) OVER ()), 6) AS y
+    FROM e JOIN f ON e.i = f.i)"""
+
+
 VIEWS = f"""
 WITH cells AS (
   SELECT vec_id AS model_id, p AS skill_id,
@@ -149,7 +174,8 @@ SELECTS: dict[str, str] = {
     "read_models": "SELECT m.*, mean_theta FROM models m JOIN means ON id = model_id",
     "read_skills": """SELECT id, label, label_english, language, primary_benchmark, n_items,
                              CASE WHEN language = 'es' THEN 0 ELSE len(string_split(label, chr(10))) END AS n_examples FROM catalogue""",
-    "read_skill_map": "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings",
+    "read_skill_map": f"SELECT skill_id AS id, x, y FROM ({_MAP})",
+    "skill_pca_map": _MAP,
     "read_responses": """SELECT vec_id AS model_id, unnest(range(0, len(embedding))) AS item_id,
                                 CASE WHEN unnest(embedding) > 0 THEN 1 ELSE 0 END::BIGINT AS correct FROM embeddings""",
     "read_items": """SELECT id AS skill_id, i + 1 AS slot, n - i AS item_id, primary_benchmark AS benchmark, t AS text
@@ -318,12 +344,12 @@ SELECTS: dict[str, str] = {
                                                   round(count(*) FILTER (win) / count(*)::DOUBLE, 9) AS share
                                            FROM outcomes JOIN items USING (item_id) GROUP BY heldout, skill_id)
                                      QUALIFY rank <= 12""",
-    "described_map": """SELECT vec_id AS skill_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y,
+    "described_map": f"""SELECT map.skill_id, x, y,
                                primary_benchmark AS benchmark, n_items, name AS best_name, z AS best_theta
-                        FROM embeddings JOIN skills ON vec_id = skills.id
+                        FROM ({_MAP}) map JOIN skills ON map.skill_id = skills.id
                         JOIN (SELECT skill_id, name, z FROM skill_cells JOIN models ON model_id = id
                               QUALIFY row_number() OVER (PARTITION BY skill_id ORDER BY z DESC, model_id) = 1) b
-                          ON b.skill_id = vec_id""",
+                          ON b.skill_id = map.skill_id""",
 }
 
 SELECTS |= {

@@ -102,7 +102,7 @@ def _listed(skills):
 def read_skill_map(spark, folder):
     path = new_path(spark, "map")
     fx.map_points(spark, folder).write.json(path)
-    return rd.read_skill_map(spark, path)
+    return _round(rd.read_skill_map(spark, path), 6, "x", "y")
 
 
 def read_responses(spark, folder):
@@ -445,7 +445,7 @@ def skill_products(spark, folder):
 
 
 def described_map(spark, folder):
-    return sm.described_map(fx.map_points(spark, folder), fx.skills(spark, folder), fx.models(spark, folder))
+    return _round(sm.described_map(fx.map_points(spark, folder), fx.skills(spark, folder), fx.models(spark, folder)), 6, "x", "y")
 
 
 QUERIES: dict[str, Query] = {
