@@ -37,15 +37,22 @@ def _chosen(selections: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def _spreads(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str) -> DataFrame:
-    """Per request an array with the lowest and highest value of each skill, in axis order."""
-    def spread(k_skill):
-        values = F.transform("chosen", lambda c: th.under(th.at(c["theta"], k_skill), nulls))
-        return th.let(values, lambda v: F.struct(
-            k_skill.alias("skill_id"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"),
-            (F.array_max(v) - F.array_min(v)).alias("spread")))
-
-    return (_chosen(selections, models).select("request_id", "chosen", skill_axis(skills).alias("axis"))
-            .select("request_id", F.transform("axis", spread).alias("spreads")))
+    """Per request an array with the lowest and highest value of each skill, in axis order.
+
+    A model's values are put in axis order once, before it is joined to the requests that name it; in a request two
+    arrays, of lowest and highest values, take in one model after the other.
+    """
+    on_axis = models.select("*", skill_axis(skills).alias("_axis")).withColumn("theta", th.let(F.col("theta"), lambda t: F.transform(
+        "_axis", lambda s: th.under(th.at(t, s), nulls))))
+    rows = _chosen(selections, on_axis.drop("_axis")).select("request_id", F.col("chosen.theta").alias("values"), skill_axis(skills).alias("axis"))
+
+    def taken(pick) -> Column:
+        rest = F.slice("values", 2, F.size("values") - 1)
+        return F.aggregate(rest, F.get("values", F.lit(0)), lambda best, v: F.zip_with(best, v, pick))
+
+    rows = rows.select("request_id", "axis", taken(lambda a, b: F.least(a, b)).alias("lo"), taken(lambda a, b: F.greatest(a, b)).alias("hi"))
+    return rows.select("request_id", F.transform(F.arrays_zip("axis", "lo", "hi"), lambda s: F.struct(
+        s["axis"].alias("skill_id"), s["lo"].alias("lo"), s["hi"].alias("hi"), (s["hi"] - s["lo"]).alias("spread"))).alias("spreads"))
 
 
 def skill_spread(selections: DataFrame, models: DataFrame, skills: DataFrame, nulls: str = "zero") -> DataFrame:

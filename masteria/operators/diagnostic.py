@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from masteria.functions import theta as th
 from masteria.functions.fixed import SMALL_MODEL_PARAMS
 from masteria.operators.responses import respondent_accuracy
+from masteria.plans import bitmaps as bm
 from masteria.plans.axis import ord_of
 from masteria.plans.joins import BROADCAST_ROWS, lookup_join
+from masteria.plans.storage import stored
 
 
 def heldout_split(responses: DataFrame, mod: int = 5) -> DataFrame:
@@ -82,39 +84,47 @@ def strongest_model(responses: DataFrame, models: DataFrame, strength: str = "ac
     return scores.orderBy(F.desc("s"), F.asc("ord")).limit(1).select("model_id").scalar()
 
 
-def _item_outcomes(responses: DataFrame, models: DataFrame, strength: str, max_params: float,
-                   by: Sequence[str]) -> DataFrame:
-    """One row per item: whether the strongest model fails it and some small model passes it."""
-    small = models.where(F.col("params") <= max_params).select(
-        F.col("id").cast("bigint").alias("model_id"), F.lit(True).alias("small"))
-    strongest = strongest_model(responses, models, strength)
-    rows = lookup_join(responses, small, "model_id", "left").withColumn(
-        "strongest", F.col("model_id") == strongest)
-    fails = F.max(F.when(F.col("strongest") & (F.col("correct") == 0), 1).otherwise(0))
-    passes = F.max(F.when(F.col("small") & (F.col("correct") == 1), 1).otherwise(0))
-    # Grouped by the item alone, so that a join to the items needs no second shuffle.
-    return rows.groupBy("item_id").agg(((fails == 1) & (passes == 1)).alias("win"),
-                                       *[F.max(c).alias(c) for c in by])
+def _item_sets(responses: DataFrame, models: DataFrame, strength: str, max_params: float, by: Sequence[str]) -> DataFrame:
+    """Per stretch of item numbers and column of ``by``: the items answered, those the strongest model fails, and those
+    some small model passes, as bitmaps.
+
+    The small models are a bitmap as well, which is sent to all tasks where it is small enough, so that responses meet a
+    bit and not the models; what they leave a task with is a bit per item and set.
+    """
+    small = stored(bm.flags(models.where(F.col("params") <= max_params).select(F.col("id").cast("bigint").alias("id")), "id"), "small")
+    keyed = responses.withColumns({"_bucket": bm.bucket(F.col("model_id")), "_strongest": strongest_model(responses, models, strength)})
+    rows = lookup_join(keyed, small, "_bucket", "left", counted=keyed).select(
+        "item_id", *by, (F.col("correct") == 1).alias("passed"), (F.col("correct") == 0).alias("failed"),
+        (F.col("model_id") == F.col("_strongest")).alias("strongest"), bm.contains(F.col("_bits"), F.col("model_id")).alias("small"))
+    return rows.groupBy(bm.bucket(F.col("item_id")).alias("bucket"), *by).agg(
+        bm.collected("item_id").alias("items"), bm.collected("item_id", "strongest AND failed").alias("failed"),
+        bm.collected("item_id", "small AND passed").alias("passed"))
 
 
-def _shares(outcomes: DataFrame, *by: str) -> DataFrame:
-    return outcomes.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_items"), F.count_if("win").alias("n_wins"),
-        (F.count_if("win") / F.count(F.lit(1))).alias("share"))
+def _shares(rows: DataFrame, *by: str) -> DataFrame:
+    """From rows with the number of items and of wins of a stretch."""
+    n = [F.sum(c).cast("bigint").alias(c) for c in ("n_items", "n_wins")]
+    return rows.groupBy(*by).agg(*n).where("n_items > 0").withColumn("share", F.col("n_wins") / F.col("n_items"))
 
 
 def weak_beats_strong(responses: DataFrame, models: DataFrame, *by: str, strength: str = "accuracy",
                       max_params: float = SMALL_MODEL_PARAMS) -> DataFrame:
     """Share of items that the strongest model fails and at least one small model passes, per
     column of ``by``, which must depend on the item only."""
-    return _shares(_item_outcomes(responses, models, strength, max_params, by), *by)
+    sets = _item_sets(responses, models, strength, max_params, by)
+    items, failed, passed = (bm.words(F.col(c)) for c in ("items", "failed", "passed"))
+    return _shares(sets.select(*by, bm.count_common(items).alias("n_items"), bm.count_common(failed, passed).alias("n_wins")), *by)
 
 
 def weak_beats_strong_by_skill(responses: DataFrame, models: DataFrame, items: DataFrame, *by: str, k: int = 12,
                                strength: str = "accuracy", max_params: float = SMALL_MODEL_PARAMS) -> DataFrame:
     """The same share per skill: the ``k`` skills where it is highest, per column of ``by``."""
-    outcomes = _item_outcomes(responses, models, strength, max_params, by)
-    shares = _shares(outcomes.join(items.select("item_id", "skill_id"), "item_id"), "skill_id", *by)
+    names = ("items", "failed", "passed")
+    sets = _item_sets(responses, models, strength, max_params, by).withColumns({c: bm.words(F.col(c)) for c in names})
+    of_skill = items.groupBy("skill_id", bm.bucket(F.col("item_id")).alias("bucket")).agg(bm.collected("item_id").alias("_own"))
+    met = of_skill.join(sets, "bucket").withColumn("_own", bm.words(F.col("_own")))
+    shares = _shares(met.select("skill_id", *by, bm.count_common(F.col("_own"), F.col("items")).alias("n_items"),
+                                bm.count_common(F.col("_own"), F.col("failed"), F.col("passed")).alias("n_wins")), "skill_id", *by)
     order = Window.partitionBy(*by).orderBy(F.desc("share"), F.asc("skill_id"))  # one row per skill
     return (shares.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(*by, F.col("rank").cast("bigint").alias("rank"), "skill_id", "n_items", "n_wins", "share"))

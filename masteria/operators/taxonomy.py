@@ -134,15 +134,22 @@ def skill_statistics(items: DataFrame) -> DataFrame:
         (F.sum("alpha") / F.sum("n")).alias("alpha_mean"))
 
 
-def example_items(skills: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
+def example_items(skills: DataFrame, items: DataFrame | None = None, k: int = 3) -> DataFrame:
     """The first ``k`` example items of each skill in the order of its list, with how many are shown of
-    the skill's ``n_items``. ``items`` are those of ``read_items``; a skill without any has one row
-    that shows none."""
-    first = items.where(F.col("slot") <= k).select("skill_id", "slot", "item_id", "text")
-    shown = Window.partitionBy("skill_id")
-    known = skills.select(F.col("id").cast("bigint").alias("skill_id"), "n_items")
-    return known.join(first, "skill_id", "left").select(
-        "skill_id", "slot", "item_id", "text", F.count("slot").over(shown).alias("shown"), "n_items")
+    the skill's ``n_items``; a skill without any has one row that shows none.
+
+    Without ``items`` they are the skill's own ``example_items``, and only ``k`` of them leave its row: no shuffle. Otherwise ``items``
+    are those of ``read_items``.
+    """
+    known = skills.select(F.col("id").cast("bigint").alias("skill_id"), "n_items", *(["example_items"] if items is None else []))
+    if items is not None:
+        first = items.where(F.col("slot") <= k).select("skill_id", "slot", "item_id", "text")
+        shown = F.count("slot").over(Window.partitionBy("skill_id"))
+        return known.join(first, "skill_id", "left").select("skill_id", "slot", "item_id", "text", shown.alias("shown"), "n_items")
+    first = F.slice(F.coalesce("example_items", F.array()), 1, k)
+    rows = known.select("skill_id", "n_items", F.size(first).cast("bigint").alias("shown"), F.posexplode_outer(first).alias("slot", "item"))
+    return rows.select("skill_id", (F.col("slot") + 1).cast("bigint").alias("slot"), F.col("item.item_idx").alias("item_id"),
+                       "item.text", "shown", "n_items")
 
 
 def catalogue_counts(models: DataFrame, skills: DataFrame, items: DataFrame) -> DataFrame:

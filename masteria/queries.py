@@ -250,8 +250,7 @@ def primary_benchmark(spark, folder):
 
 
 def example_items(spark, folder):
-    catalogue = fx.catalogue_with_examples(spark, folder)
-    return ta.example_items(catalogue, rd.read_items(catalogue))
+    return ta.example_items(fx.catalogue_with_examples(spark, folder))
 
 
 # Models --------------------------------------------------------------------------------------

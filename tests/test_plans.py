@@ -101,3 +101,38 @@ def test_beyond_a_broadcast_the_join_is_split(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_stored_tables_are_dropped_unless_they_are_read(spark):
+    from masteria.plans.storage import drop, recorded, stored
+
+    with recorded() as tables:
+        one, two = stored(spark.range(3), "one"), stored(spark.range(4), "two")
+    assert stored(spark.range(1), "other").count() == 1 and len(tables) == 2
+    assert drop(spark, tables, one.where("id > 0")) == tables[:1] and one.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(tables[1]).count()
+    assert drop(spark, tables[:1], spark.range(1)) == []
+
+
+def test_sets_as_bitmaps(spark):
+    from masteria.plans import bitmaps
+
+    numbers = {-70_000, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 10**12}
+    frame = spark.createDataFrame([(n,) for n in numbers] + [(7,), (None,)], "n long")
+    asked = sorted(numbers | {n + 1 for n in numbers} | {n - 1 for n in numbers})
+    flags = bitmaps.flags(frame, "n")
+    got = (spark.createDataFrame([(n,) for n in asked], "m long").join(flags, bitmaps.bucket(F.col("m")) == F.col("_bucket"), "left")
+           .select("m", bitmaps.contains(F.col("_bits"), F.col("m"))).collect())
+    assert {r[0] for r in got if r[1]} == numbers and len(got) == len(asked)
+    sets = frame.groupBy(bitmaps.bucket(F.col("n")).alias("b")).agg(bitmaps.collected("n").alias("all"), bitmaps.collected("n", "n % 2 = 0").alias("even"))
+    common = bitmaps.count_common(bitmaps.words(F.col("all")), bitmaps.words(F.col("even")))
+    assert sets.agg(F.sum(common)).first()[0] == sum(n % 2 == 0 for n in numbers)
+
+
+def test_responses_meet_bits_of_models_only(spark):
+    """No row per response or item is shuffled for the share of items that small models win."""
+    from masteria.queries import QUERIES
+
+    plan = QUERIES["weak_beats_strong"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "theta" not in plan
