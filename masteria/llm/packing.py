@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
     def run(rows) -> Iterator[tuple]:
         number = TaskContext.get().partitionId() * PER_TASK
-        ids_of = _tokenizer(tokenizer).of
+        ids_of = text_ids(tokenizer).of
 
         def filled(parts: list[Piece], size: int) -> Iterator[tuple]:
             nonlocal number
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     return map_rows(texts_of(docs, doc_id, text), run, SCHEMA)
 
 
-def _tokenizer(path: str) -> TextIds:
+def text_ids(path: str) -> TextIds:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = TextIds(path)
     return _TOKENIZERS[path]

@@ -59,7 +59,8 @@ def op8_prefix_tree(spark, folder):
     rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.read_back(chat.prefix_packs(rows.unionByName(own)))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.read_back(chat.prefix_packs(rows.unionByName(own), tokenizer=tokenizer), tokenizer)
 
 
 def op9_robust_quality(spark, folder):

@@ -14,6 +14,8 @@ from masteria.llm import chat, fixity, graph, near_copies, robust_quality, simha
 
 FOLDER = "/root/testdata/sf0.001"
 
+BYTES = public.path("byte_bpe_50k.json")
+
 
 def _docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
@@ -300,16 +302,26 @@ def _chats():
     return rows
 
 
-@pytest.mark.parametrize("limit", [1, 300, 1 << 20])
-def test_prefix_trees(spark, limit):
+@pytest.mark.parametrize("limit, tokenizer", [(1, None), (300, None), (1 << 20, None), (1, BYTES), (150, BYTES), (1 << 20, BYTES)])
+def test_prefix_trees(spark, limit, tokenizer):
     rows = _chats()
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pack", F.lit(1))
-    packs = chat.prefix_packs(frame.repartition(3), limit)
-    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(packs).collect()}
+    packs = chat.prefix_packs(frame.repartition(3), limit, tokenizer)
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(packs, tokenizer).collect()}
     assert got == brute.conversations(rows)
+    unit = "ids" if tokenizer else "segment"
     placed = [r.asDict() for r in packs.collect()]
+    for r in placed:
+        r["segment"] = r[unit] if r[unit] is None else tuple(r[unit])
     assert len(placed) == len(rows)
     own = {(r["pack"], r["start"]): r for r in placed if r["segment"] is not None}
+    if tokenizer:
+        library = Tokenizer.from_file(tokenizer)
+        for r in own.values():
+            text = library.decode(list(r["segment"]), skip_special_tokens=False)
+            head, body, tail = r["segment"][:r["loss_start"]], r["segment"][r["loss_start"]:r["loss_end"]], r["segment"][r["loss_end"]:]
+            assert text.startswith(chat.TURN) and text.endswith(chat.END)
+            assert "".join(library.decode(list(p), skip_special_tokens=False) for p in (head, body, tail)) == text
     by_conv = {}
     for r in placed:
         by_conv.setdefault(r["conv"], []).append(r)
@@ -333,6 +345,16 @@ def test_prefix_trees(spark, limit):
         assert len(set(segments)) == len(segments)  # a prefix once per pack
 
 
+def test_a_conversation_of_many_turns(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+                                 F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    rows = rows.unionByName(rows.where("turn < 99990").withColumn("conv_id", F.lit(2).cast("long")))
+    packs = chat.prefix_packs(rows, 1 << 24)
+    assert packs.where("segment IS NOT NULL").count() == n
+    assert {r["conv_id"]: r["n_turns"] for r in chat.read_back(packs).collect()} == {1: n, 2: 99_990}
+
+
 def test_no_conversations(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.prefix_packs(frame)).count() == 0
