@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -35,8 +36,8 @@ SPACE = "▁"
 IDS = 24
 #: A batch is closed at this many bytes of text; stretches are tried every so many A tokens.
 BATCH_BYTES, STRETCH = 1 << 20, 160
-#: Links that are laid out at a time.
-LINKS = 1 << 21
+#: Links that are laid out at a time, and words that are remembered.
+LINKS, WORDS = 1 << 21, 500_000
 
 _DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                   ("n_links", pa.int64()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
@@ -62,14 +63,53 @@ class Pair:
         self.length_a, self.length_b = (np.array([len(t) for t in of], dtype=np.int64) for of in (self.bytes_a, self.bytes_b))
         self.text_a, self.text_b = ([str(i) for i in range(len(of))] for of in (self.bytes_a, self.bytes_b))
 
+        pieces = list(map(self.b.id_to_piece, range(self.b.get_piece_size())))
+        #: No piece goes on over the start of a word, nor over a line end: texts can then be encoded word by word.
+        self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
+        self.words: dict[str, list[int] | None] = {}
+        self.start = self.b.piece_to_id(SPACE)
+
+    def _given_back(self, ids: list[int], whole: bytes) -> bool:
+        return b"".join(map(self.bytes_b.__getitem__, ids)) == whole
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the identifiers of words; nothing for a word whose bytes they do not give back."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        for word, ids in zip(new, self.b.encode(new, num_threads=1) if new else ()):
+            self.words[word] = ids if self._given_back(ids, b" " + word.encode("utf-8")) else None
+            if word[0] == "\n" and ids[0] == self.start and self.words[word] is not None:
+                self.words[word] = ids[1:]  # a later line: the space belongs to no line but the first
+
+    def _words(self, text: str) -> list[str] | None:
+        """A text cut before spaces and line ends; nothing if there is more than one space in a row, or an empty first line of a word."""
+        if not self.by_words or not text or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text:
+            return None
+        return text.replace("\n", " \n").split(" ")
+
+    def ids_b(self, texts: list[str]) -> list[list[int] | None]:
+        """The identifiers of B of every text, nothing where they do not give a space and the text."""
+        cut = [self._words(text) for text in texts]
+        self._learn(set().union(*(words for words in cut if words)))
+        whole = iter(self.b.encode([t for t, words in zip(texts, cut) if not words], num_threads=1))
+        out: list[list[int] | None] = []
+        for text, words in zip(texts, cut):
+            if not words:
+                ids = next(whole)
+                out.append(ids if text and self._given_back(ids, b" " + text.encode("utf-8")) else None)
+            else:
+                found = list(map(self.words.__getitem__, words))
+                out.append(None if None in found else list(chain.from_iterable(found)))
+        return out
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The identifiers of A and B of every text; both empty where one of them does not cut a space and the text."""
         out = []
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            whole = b"" if not text else b" " + text.encode("utf-8")
-            if whole and whole == b"".join(map(self.bytes_b.__getitem__, b)):
+        for text, b in zip(texts, self.ids_b(texts)):
+            if b is not None:
                 a = self.a.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
-                if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole:
+                if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == b" " + text.encode("utf-8"):
                     out.append((a, np.array(b, dtype=np.int64)))
                     continue
             out.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))

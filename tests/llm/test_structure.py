@@ -195,6 +195,15 @@ def test_alignment_of_odd_texts(plain, texts, most, every):
         assert got[k] == (n_a, n_b, len(groups), sum(links.values()), ";".join(groups), dict(links))
 
 
+def test_words_give_the_tokens_of_whole_texts(given):
+    pair, of_b = alignment.Pair(A, B), sentencepiece.SentencePieceProcessor(model_file=B)
+    texts = [t or "" for _, t in given[:80]] + ["a\nb", "a\n\nb", "\na", "a \nb", "a\n b", "a  b", " a", "a ", "\t a\n", "x\r\ny", "a\n", "▁ a", "a ▁b", "🙂\n🙂"]
+    for text, ids in zip(texts, pair.ids_b(texts)):
+        whole = of_b.encode(text)
+        back = b"".join(map(pair.bytes_b.__getitem__, whole)) == b" " + text.encode()
+        assert ids == (whole if text and back else None)
+
+
 def test_query_on_alignment(spark, plain):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     want = {i: plain(t) for i, t in docs}
