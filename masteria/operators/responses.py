@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masteria.plans.axis import ord_of
-from masteria.plans.joins import lookup_join
+from masteria.plans.joins import is_small, lookup_join
 from masteria.sources.writers import write_models
 
 
@@ -31,12 +31,12 @@ def attach_accuracy(models: DataFrame, responses: DataFrame, respondents: DataFr
 
     Both sides hold one row per model. Models without a hub id get a key of their own, so that
     they do not all meet in one task. ``few`` says that the models come from a limit: only
-    their responses then leave the scan.
+    their responses are then shuffled. What is sent to all tasks for that is measured first.
     """
     if few:
-        listed = respondents.join(F.broadcast(models.select("hf_id")), "hf_id", "left_semi")
+        listed = respondents.join(_sent(models.select("hf_id")), "hf_id", "left_semi")
         wanted = listed.select(F.col("pos").alias("model_id"))
-        responses = responses.join(F.broadcast(wanted), "model_id", "left_semi")
+        responses = responses.join(_sent(wanted), "model_id", "left_semi")
     # A hub id that is listed twice would give a model two accuracies; it is refused.
     once = F.when(F.count(F.lit(1)) == 1, F.first("accuracy")).otherwise(
         F.raise_error(F.concat(F.lit("two respondents have the hub id "), F.col("_key"))))
@@ -48,6 +48,10 @@ def attach_accuracy(models: DataFrame, responses: DataFrame, respondents: DataFr
     return keyed.join(scores, "_key", "left").drop("_key")
 
 
+def _sent(frame: DataFrame) -> DataFrame:
+    return F.broadcast(frame) if is_small(frame) else frame
+
+
 def check_shape(responses: DataFrame, respondents: DataFrame, models: DataFrame) -> DataFrame:
     """As many respondents in the responses as in the list and as models."""
     def size(frame: DataFrame) -> Column:

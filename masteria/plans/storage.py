@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,4 +49,31 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = new_path(spark, name)
     frame.write.parquet(path)
+    for tables in _recording:
+        tables.append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that are stored inside the block."""
+    tables: list[str] = []
+    _recording.append(tables)
+    try:
+        yield tables
+    finally:
+        _recording[:] = [t for t in _recording if t is not tables]
+
+
+def drop(spark: SparkSession, tables: list[str], kept: DataFrame) -> list[str]:
+    """Remove stored tables but those that ``kept`` reads, which are returned."""
+    read = {unquote(urlparse(file).path) for file in kept.inputFiles()}
+    needed = [t for t in tables if any(file.startswith(f"{urlparse(t).path}/") for file in read)]
+    for table in tables:
+        if table not in needed:
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return needed
