@@ -14,6 +14,7 @@ Several files are read as one text in the order of their names. Anything else th
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,12 @@ def _text(spark: SparkSession, path: str) -> DataFrame:
 
 def first_line(spark: SparkSession, path: str) -> tuple[str | None, bool]:
     """The beginning of the first line that is not blank, and whether it is cut: it holds at most ``PEEK`` closing braces."""
-    rows = [r.value for r in _text(spark, path).limit(PEEK).collect()]
-    line, *more = END.join(rows).lstrip().split("\n", 1)
-    return line or None, not more and len(rows) == PEEK
+    for file in sorted(_text(spark, path).inputFiles()):
+        rows = [r.value for r in _text(spark, unquote(file)).limit(PEEK).collect()]
+        line, *more = END.join(rows).lstrip().split("\n", 1)
+        if line:
+            return line, not more and len(rows) == PEEK
+    return None, False
 
 
 def _depth(text: Column) -> Column:
@@ -60,7 +64,7 @@ def _chunks(spark: SparkSession, path: str, opening: str) -> DataFrame:
         *_AT, "value", "size", F.octet_length("value").cast("long").alias("bytes"), *_effects(value, ""),
         value.rlike(opening).alias("opens"), *_effects(before, "before_"),
         F.regexp_extract(value, rf"(?s)^.*?{opening}\s*([{{\]]?)", 1).alias("first"),
-        F.regexp_extract(value, r"^\s*(\]|,\s*\{)", 1).substr(1, 1).alias("lead"),
+        value.rlike(rf"{opening}\s*$").alias("bare"), F.regexp_extract(value, r"^\s*(\]|,\s*\{|\{)", 1).substr(1, 1).alias("lead"),
         (F.regexp_replace(value, r"\s", "") == "").alias("blank")), "chunks")
 
 
@@ -110,14 +114,18 @@ def elements(spark: SparkSession, path: str, wrapper: str | None) -> DataFrame:
     if start is None or (not wrapper and start != first):
         raise ValueError(f"{path}: malformed JSON, there is no array" + (f" under {wrapper!r}" if wrapper else ""))
     here = F.struct(*(F.lit(v).alias(n) for n, v in zip(_AT, start)))
-    between = ~F.col("in_string") & (F.col("depth") == base) & (F.col("at") > here)
+    between = ~F.col("in_string") & (F.col("depth") == base) & (F.col("at") > here) & solid
     closes = (between & (F.col("lead") == "]")) | ((F.col("at") == here) & (F.col("first") == "]"))
-    close = rows.agg(F.min(F.when(closes, F.col("at")))).first()[0]
+    # A file may end right after the bracket that opens the array; the first element then begins a later file.
+    late = (F.col("at") == here) & F.col("bare") & ~F.col("brace")
+    close, is_late, following = rows.agg(F.min(F.when(closes, F.col("at"))), F.bool_or(late), F.min(F.when(solid & (F.col("at") > here), F.col("at")))).first()
     if close is None or last.end_in_string or last.end_depth != 0:
         raise ValueError(f"{path}: malformed JSON, one array that is closed is read")
     there = F.struct(*(F.lit(v).alias(n) for n, v in zip(_AT, close)))
-    begins = ((F.col("at") == here) & (F.col("first") == "{")) | (between & (F.col("lead") == ",") & (F.col("at") < there))
-    strange = ((F.col("at") == here) & (F.col("first") == "")) | (between & (F.col("lead") == "") & (F.col("at") < there))
+    first_late = F.col("at") == F.struct(*(F.lit(v).alias(n) for n, v in zip(_AT, following))) if is_late else F.lit(False)
+    begins = ((F.col("at") == here) & (F.col("first") == "{")) | (
+        between & (F.col("at") < there) & (F.col("lead") == F.when(first_late, "{").otherwise(",")))
+    strange = ((F.col("at") == here) & (F.col("first") == "") & ~late) | (between & (F.col("at") < there) & ~begins)
     # The root ends with the array, or with the first brace after which the depth is 0.
     over = F.col("at") > there
     if wrapper:
@@ -130,15 +138,15 @@ def elements(spark: SparkSession, path: str, wrapper: str | None) -> DataFrame:
         raise ValueError(f"{path}: one array is read, and nothing after it")
     inside = Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = (rows.where((F.col("at") >= here) & (F.col("at") < there) if close != start else F.lit(False))
-               .select(*_AT, begins.alias("begins"), (F.col("at") == here).alias("head"))
+               .select(*_AT, "brace", begins.alias("begins"), (F.col("at") == here).alias("head"))
                .withColumn("n", F.sum(F.col("begins").cast("long")).over(inside)))
     along = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
     splits = counted.groupBy("path", "block").agg(F.max("n").alias("all"))
-    splits = splits.select("path", "block", F.coalesce(F.sum("all").over(along), F.lit(0)).alias("earlier"))
-    numbered = counted.join(splits, ["path", "block"]).select(*_AT, "begins", "head", (F.col("earlier") + F.col("n") - 1).alias("ord"))
+    splits = stored(splits.select("path", "block", F.coalesce(F.sum("all").over(along), F.lit(0)).alias("earlier")), "splits")
+    numbered = counted.join(splits, ["path", "block"]).select(*_AT, "brace", "begins", "head", (F.col("earlier") + F.col("n") - 1).alias("ord")).where("ord >= 0")
     text = F.when(F.col("head"), F.regexp_replace("value", rf"(?s)^.*?{opening}\s*" if wrapper else opening + r"\s*", "")).when(
-        F.col("begins"), F.regexp_replace("value", r"^\s*,\s*", "")).otherwise(F.col("value"))
-    pieces = chunks.select(*_AT, "value").join(numbered, list(_AT)).select("ord", F.struct(*_AT, F.concat(text, F.lit(END)).alias("text")).alias("piece"))
+        F.col("begins"), F.regexp_replace("value", r"^\s*,?\s*", "")).otherwise(F.col("value"))
+    pieces = chunks.select(*_AT, "value").join(numbered, list(_AT)).select("ord", F.struct(*_AT, F.concat(text, F.when(F.col("brace"), END).otherwise("")).alias("text")).alias("piece"))
     whole = pieces.groupBy("ord").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     return whole.select("ord", F.array_join(F.col("pieces.text"), "").alias("text"))
 

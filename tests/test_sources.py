@@ -145,6 +145,11 @@ def test_array_over_several_files(spark, folder):
     lines = ["[", *((", " if k else "") + json.dumps(_tree(k)) for k in range(20)), "]"]
     spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "k int, value string").orderBy("k").select("value").write.text(f"{folder}/parts")
     assert rows(rd.read_skills(spark, f"{folder}/parts"), "ord", "id") == [(k, k) for k in range(20)]
+    large = [" ", "[", json.dumps(_tree(0)), *("," + json.dumps(_tree(k)) for k in range(1, 300)), "]"]
+    for k, part in enumerate(("".join(large[:2]), large[2], "".join(large[3:]))):  # the largest file is read first
+        with open(f"{folder}/large {k}.json", "w") as f:
+            f.write(part)
+    assert rows(rd.read_skills(spark, f"{folder}/large*.json"), "ord", "id") == [(k, k) for k in range(300)]
 
 
 @pytest.mark.parametrize("text", ['[{"id": 1}, 5, {"id": 2}]', '[{"id": 1} {"id": 2}]', '[1]', '[{"id": 1}', '[{"id": "x]', '{"models": [{"id": 1}]} {}',
