@@ -88,10 +88,8 @@ def ranked_skills(models: DataFrame, skills: DataFrame, nulls: str = "zero") ->
 DEFAULT_DIRECTION = {"index": "desc", "name": "asc", "acc": "desc", "mean": "desc", "skill": "desc"}
 
 
-def _ranked(models: DataFrame, key: str, direction: str | None, skill_id: int | None, nulls: str,
-            *columns: str) -> DataFrame:
-    """Rank by one of the five keys, the input position settling ties. Only the key and
-    ``columns`` take part in the sort."""
+def checked_direction(key: str, direction: str | None, skill_id: int | None) -> str:
+    """The direction of a sort by one of the five keys, refusing what is none."""
     if key not in DEFAULT_DIRECTION:
         raise ValueError(f"key must be one of {sorted(DEFAULT_DIRECTION)}, not {key!r}")
     direction = direction or DEFAULT_DIRECTION[key]
@@ -99,20 +97,39 @@ def _ranked(models: DataFrame, key: str, direction: str | None, skill_id: int |
         raise ValueError(f"dir must be 'asc' or 'desc', not {direction!r}")
     if key == "skill" and skill_id is None:
         raise ValueError("key 'skill' needs a skill_id")
+    return direction
+
+
+def sortable(models: DataFrame, nulls: str, *carry: str) -> DataFrame:
+    """What the five sort keys are read from."""
     accuracy = F.col("accuracy") if "accuracy" in models.columns else F.lit(None).cast("double")
-    rows = models.select(
+    return models.select(
         F.col("id").cast("bigint").alias("model_id"), ord_of(models).alias("ord"), "name",
-        accuracy.alias("accuracy"), th.mean(F.col("theta"), nulls).alias("mean_theta"), "theta")
-    value = {
+        accuracy.alias("accuracy"), th.mean(F.col("theta"), nulls).alias("mean_theta"), "theta", *carry)
+
+
+def sort_value(key: str, skill_id: int | None, nulls: str) -> Column:
+    return {
         "index": lambda: F.col("model_id"),
         "name": lambda: F.lower("name"),
         "acc": lambda: F.col("accuracy"),
         "mean": lambda: F.col("mean_theta"),
         "skill": lambda: th.under(th.at("theta", skill_id), nulls),
     }[key]()
-    # A missing accuracy sorts below every other value.
-    by = F.col("_key").asc_nulls_first() if direction == "asc" else F.col("_key").desc_nulls_last()
-    return add_rank(rows.select("model_id", "ord", value.alias("_key"), *columns), [by, F.col("ord").asc()])
+
+
+def directed(column: str, direction: str) -> Column:
+    """A missing value sorts below every other."""
+    return F.col(column).asc_nulls_first() if direction == "asc" else F.col(column).desc_nulls_last()
+
+
+def _ranked(models: DataFrame, key: str, direction: str | None, skill_id: int | None, nulls: str,
+            *columns: str) -> DataFrame:
+    """Rank by one of the five keys, the input position settling ties. Only the key and
+    ``columns`` take part in the sort."""
+    direction = checked_direction(key, direction, skill_id)
+    rows = sortable(models, nulls).select("model_id", "ord", sort_value(key, skill_id, nulls).alias("_key"), *columns)
+    return add_rank(rows, [directed("_key", direction), F.col("ord").asc()])
 
 
 def leaderboard_sort(models: DataFrame, key: str = "mean", dir: str | None = None,

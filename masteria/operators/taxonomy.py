@@ -1,8 +1,8 @@
 """Skills grouped by benchmark, and the items behind each skill.
 
-Skills are numbered per benchmark; what is brought together in one task has one row per benchmark, or
-per run of one benchmark. Items are never brought together: they are counted or limited per skill before
-anything is shuffled.
+Skills are numbered by a sort by ranges, so that a benchmark with most of the skills is spread over tasks; what is brought
+together in one task has one row per benchmark, or one per many skills. Items are never brought together: they are counted
+or limited per skill before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from masteria.functions.fixed import GRID_BENCHMARKS
 from masteria.functions.text import contains, heading
 from masteria.plans.axis import ord_of
+from masteria.plans.joins import lookup_join
+from masteria.plans.ranking import add_rank
 
 
 def canonical_place(benchmark: Column) -> Column:
@@ -42,17 +44,14 @@ def skills_per_benchmark(skills: DataFrame) -> DataFrame:
 
 def grid_order(skills: DataFrame) -> DataFrame:
     """0-based position of each skill: by benchmark, then in input order."""
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    starts = _groups(skills).select(F.col("primary_benchmark").alias("benchmark"),
-                                    F.coalesce(F.sum("n_skills").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("benchmark").orderBy("ord")
+    def key(benchmark: str) -> Column:  # never null, so that skills without a benchmark find their group
+        return F.coalesce(F.concat(F.lit("="), benchmark), F.lit("")).alias("_key")
+
+    groups = _groups(skills).select(key("primary_benchmark"), F.col("ord").alias("_group"))
     rows = skills.select(F.col("id").cast("bigint").alias("skill_id"), ord_of(skills).alias("ord"),
-                         F.col("primary_benchmark").alias("benchmark"))
-    placed = rows.withColumn("_row", F.row_number().over(order) - 1)
-    # One row per benchmark on the right side.
-    same = placed["benchmark"].eqNullSafe(starts["benchmark"])
-    return placed.join(starts, same).select(
-        "skill_id", (F.col("_start") + F.col("_row")).cast("bigint").alias("pos"), placed["benchmark"])
+                         F.col("primary_benchmark").alias("benchmark"), key("primary_benchmark"))
+    placed = add_rank(lookup_join(rows, groups, "_key").drop("_key"), [F.col("_group").asc(), F.col("ord").asc()])
+    return placed.select("skill_id", (F.col("rank") - 1).alias("pos"), "benchmark")
 
 
 def group_starts(skills: DataFrame) -> DataFrame:
@@ -64,26 +63,44 @@ STRETCH = 1 << 16
 
 
 def sector_runs(ordered: DataFrame) -> DataFrame:
-    """Runs of one benchmark along ``pos``: both ends and the share of the whole circle.
+    """Runs of one benchmark along ``pos``, which must leave no ties: both ends and the share of the whole circle.
 
-    Runs are first found inside stretches of ``pos``; only runs, not rows, are then brought together.
+    A run is numbered by the borders before it. What a stretch of ``pos`` does to the count is summed up in one row (its first
+    and last benchmark, its borders, its rows), and such rows are summed up again for as many stretches; so no task sees
+    more than a stretch of rows or of sums, or one row per 2**32 positions, whatever the number of runs.
     """
-    inside = _runs(ordered.select(F.expr(f"pos div {STRETCH}").alias("stretch"), "benchmark",
-                                  F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), F.lit(1).cast("bigint").alias("_n")),
-                   "stretch")
-    runs = _runs(inside.withColumn("stretch", F.lit(0)), "stretch")
-    return runs.select(F.col("run").cast("bigint").alias("run"), "benchmark", "start_pos", "end_pos",
-                       (F.col("_n") / F.sum("_n").over(Window.partitionBy("stretch"))).alias("share"))
-
-
-def _runs(rows: DataFrame, part: str) -> DataFrame:
-    """Neighbours of one benchmark joined, in each part."""
-    along = Window.partitionBy(part).orderBy("start_pos")
-    same = F.col("benchmark").eqNullSafe(F.lag("benchmark").over(along)) & F.lag("start_pos").over(along).isNotNull()
-    islands = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn(
-        "run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy(part, "run", "benchmark").agg(
-        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("_n").alias("_n"))
+    rows = ordered.select(F.expr(f"pos div {STRETCH}").alias("stretch"), "pos", F.col("pos").alias("_at"),
+                          F.col("benchmark").alias("_first"), F.col("benchmark").alias("_last"), F.lit(0).cast("bigint").alias("_inner"))
+    inside = _counted(rows, "stretch", "_at")
+    sums = _summed(inside, "stretch").withColumn("wide", F.expr(f"stretch div {STRETCH}"))
+    middle = _counted(sums, "wide", "stretch")
+    top = _counted(_summed(middle, "wide").withColumn("all", F.lit(0)), "all", "wide")
+    starts = middle.select("stretch", "wide", "_before").join(
+        top.select("wide", F.col("_before").alias("_wider")), "wide").select("stretch", (F.col("_before") + F.col("_wider")).alias("_start"))
+    total = sums.agg(F.sum("_n").alias("n")).scalar()
+    # Each stretch sends a row per run, so a run over many stretches is short by then.
+    numbered = inside.join(starts, "stretch").groupBy((F.col("_start") + F.col("_before") + 1).alias("run"), F.col("_last").alias("benchmark"))
+    runs = numbered.agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("_n"))
+    return runs.select("run", "benchmark", "start_pos", "end_pos", (F.col("_n") / total).alias("share"))
+
+
+def _counted(parts: DataFrame, inside: str, along: str) -> DataFrame:
+    """Add ``_before``: the borders up to the start of each part, counted inside its stretch, that at its own start included; the
+    very first part of a stretch has none there, for what precedes it lies in another stretch."""
+    order = Window.partitionBy(inside).orderBy(along)
+    starts = F.lag(along).over(order).isNotNull() & ~F.lag("_last").over(order).eqNullSafe(F.col("_first"))
+    return (parts.withColumn("_step", starts.cast("bigint"))
+            .withColumn("_before", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                        + F.coalesce(F.sum("_inner").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+
+
+def _summed(parts: DataFrame, inside: str) -> DataFrame:
+    """One row per stretch: the first and the last benchmark, the borders inside, the number of rows."""
+    along = "_at" if "_at" in parts.columns else "stretch"
+    n = F.sum("_n") if "_n" in parts.columns else F.count(F.lit(1))
+    return parts.groupBy(inside).agg(
+        F.min_by("_first", along).alias("_first"), F.max_by("_last", along).alias("_last"),
+        (F.sum("_step") + F.sum("_inner")).alias("_inner"), n.alias("_n"))
 
 
 def skills_by_size(skills: DataFrame) -> DataFrame:
@@ -91,8 +108,8 @@ def skills_by_size(skills: DataFrame) -> DataFrame:
     rows = skills.select(
         F.col("primary_benchmark").alias("benchmark"), F.col("id").cast("bigint").alias("skill_id"),
         ord_of(skills).alias("ord"), "n_items")
-    order = Window.partitionBy("benchmark").orderBy(F.desc("n_items"), F.asc("ord"))
-    return rows.select("benchmark", F.row_number().over(order).cast("bigint").alias("rank"), "skill_id", "n_items")
+    order = [F.col("benchmark").asc(), F.desc("n_items"), F.col("ord").asc()]
+    return add_rank(rows, order, within="benchmark").select("benchmark", "rank", "skill_id", "n_items")
 
 
 def filter_skills(skills: DataFrame, search: str | None) -> DataFrame:

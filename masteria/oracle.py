@@ -170,6 +170,23 @@ _BOARD = "SELECT *, row_number() OVER (ORDER BY {}, model_id) AS rank FROM board
 _FACETS = ("contains(lower(name), '{}') AND family IN ('Llama', 'Mistral', 'Other', 'Falcon') "
            "AND tier IN ('Small', 'Mid', 'Other')")
 
+# Several filters and orders over the same models.
+_FILTERS = {
+    "all": "true", "picked": _FACETS.format("model_1"), "families": "family IN ('Llama', 'Mistral', 'Other', 'Falcon')",
+    "searched": "contains(lower(name), '9')", "none": "contains(lower(name), 'no such model')"}
+_ORDERS = {
+    "index": "id DESC", "name": "lower(name)", "acc": "accuracy DESC NULLS LAST", "mean": "mean_theta DESC", "skill": "z DESC",
+    "acc_up": "accuracy ASC NULLS FIRST", "name_down": "lower(name) DESC"}
+
+
+def _filtered(select: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS filter, {select} WHERE {test}" for name, test in _FILTERS.items())
+
+
+def _placed(sort: str) -> str:
+    return f"row_number() OVER (ORDER BY {_ORDERS[sort]}, id) AS rank"
+
+
 SELECTS: dict[str, str] = {
     "read_models": "SELECT m.*, mean_theta FROM models m JOIN means ON id = model_id",
     "read_skills": """SELECT id, label, label_english, language, primary_benchmark, n_items,
@@ -276,6 +293,15 @@ SELECTS: dict[str, str] = {
                                  FROM board b JOIN cells c ON b.model_id = c.model_id AND skill_id = 7""",
     "display_rank": f"""SELECT model_id, row_number() OVER (ORDER BY mean_theta DESC, model_id) AS rank
                         FROM models JOIN means ON id = model_id WHERE {_FACETS.format('model')}""",
+    "leaderboard_ranks": f"""SELECT id AS model_id, {', '.join(f"{_placed(n)[:-8]} AS rank_{n}" for n in _ORDERS)}
+                             FROM scored JOIN means ON id = means.model_id
+                             JOIN (SELECT model_id, coalesce(theta, 0) AS z FROM cells WHERE skill_id = 7) c ON id = c.model_id""",
+    "facet_ranks": " UNION ALL ".join(
+        f"SELECT '{sort}' AS sort, * FROM ({_filtered(f'id AS model_id, {_placed(sort)} FROM scored JOIN means ON id = model_id')})"
+        for sort in ("mean", "acc")),
+    "facet_counts": f"SELECT *, (SELECT count(*) FROM models) AS total FROM ({_filtered('count(*) AS visible FROM models')})",
+    "facet_page": f"""SELECT * FROM ({_filtered(f'{_placed("name")}, id AS model_id, name, family, tier FROM models')})
+                      WHERE rank BETWEEN 13 AND 36""",
     "top_models": """SELECT row_number() OVER (ORDER BY mean_theta DESC, id) AS rank, id, name, family, tier, params,
                             accuracy, mean_theta
                      FROM scored JOIN means ON id = model_id QUALIFY rank <= 12""",

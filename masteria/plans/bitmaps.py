@@ -46,3 +46,37 @@ def contains(bits: Column, number: Column) -> Column:
     place = F.bitmap_bit_position(number)
     byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.call_function("getbit", byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
+# A word holds eight bytes, the first of them as its highest; inside a byte the lowest bit comes first. These are the bit
+# of each place in a word, and the bits before it.
+_SHIFTS = [8 * (7 - q // 8) + q % 8 for q in range(64)]
+_OWN = [1 << s for s in _SHIFTS]
+_BEFORE = [sum(_OWN[:q]) for q in range(64)]
+
+
+def _mask(masks: list[int], place: Column) -> Column:
+    """One of 64 masks, as a signed number."""
+    return F.get(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks]), (place % 64).cast("int"))
+
+
+def _word(words: Column, place: Column) -> Column:
+    return F.get(words, F.floor(place / 64).cast("int"))
+
+
+def is_set(words: Column, number: Column) -> Column:
+    """Whether ``words`` of a number's stretch have its bit."""
+    place = F.bitmap_bit_position(number)
+    return _word(words, place).bitwiseAND(_mask(_OWN, place)) != 0
+
+
+def counts_before(words: Column) -> Column:
+    """For each word the number of bits in earlier words: with it a bit is counted in constant time."""
+    grown = F.aggregate(words, F.array(F.lit(0)), lambda sums, w: F.concat(sums, F.array(F.element_at(sums, -1) + F.bit_count(w))))
+    return F.slice(grown, 1, WORDS)
+
+
+def bits_before(words: Column, earlier: Column, number: Column) -> Column:
+    """How many bits of a number's stretch come before its own, ``earlier`` being ``counts_before(words)``."""
+    place = F.bitmap_bit_position(number)
+    return _word(earlier, place) + F.bit_count(_word(words, place).bitwiseAND(_mask(_BEFORE, place)))

@@ -13,6 +13,7 @@ from masteria.operators import catalogue as cat
 from masteria.operators import cells as ce
 from masteria.operators import compare as co
 from masteria.operators import diagnostic as di
+from masteria.operators import facets as fa
 from masteria.operators import leaderboard as lb
 from masteria.operators import population as po
 from masteria.operators import responses as re
@@ -301,6 +302,32 @@ def display_rank(spark, folder):
     return lb.display_rank(fx.models(spark, folder), search="model", families=FAMILIES, tiers=TIERS)
 
 
+ORDERS = fa.FIVE_KEYS | {"acc_up": fa.SortKey("acc", "asc"), "name_down": fa.SortKey("name", "desc"),
+                         "skill": fa.SortKey("skill", skill_id=SORT_SKILL)}
+FILTERS = {"all": fa.Facets(), "picked": fa.Facets(SEARCH, FAMILIES, TIERS), "families": fa.Facets(families=FAMILIES),
+           "searched": fa.Facets(search="9"), "none": fa.Facets(search="no such model")}
+
+
+def leaderboard_ranks(spark, folder):
+    return fa.leaderboard_ranks(fx.scored_models(spark, folder), ORDERS)
+
+
+def facet_ranks(spark, folder):
+    index = fa.facet_index(fx.scored_models(spark, folder), {n: ORDERS[n] for n in ("mean", "acc")})
+    ranks = [fa.visible_ranks(index, sort, FILTERS).withColumn("sort", F.lit(sort)) for sort in ("mean", "acc")]
+    return ranks[0].unionByName(ranks[1])
+
+
+def facet_counts(spark, folder):
+    index = fa.facet_index(fx.models(spark, folder), {"mean": ORDERS["mean"]})
+    return fa.visible_counts(index, "mean", FILTERS)
+
+
+def facet_page(spark, folder):
+    index = fa.facet_index(fx.models(spark, folder), {"name": ORDERS["name"]})
+    return fa.visible_page(index, "name", 13, 24, FILTERS)
+
+
 def top_models(spark, folder):
     best = lb.top_models(fx.models(spark, folder), carry=["hf_id"])
     scored = re.attach_accuracy(best, fx.responses(spark, folder), fx.respondents(spark, folder), few=True)
@@ -502,6 +529,10 @@ QUERIES: dict[str, Query] = {
     "leaderboard_sort_acc_asc": _leaderboard("acc", "asc"),
     "leaderboard_sort_skill": _leaderboard("skill", skill_id=SORT_SKILL),
     "display_rank": display_rank,
+    "leaderboard_ranks": leaderboard_ranks,
+    "facet_ranks": facet_ranks,
+    "facet_counts": facet_counts,
+    "facet_page": facet_page,
     "top_models": top_models,
     "leaderboard_grid": leaderboard_grid,
     "matrix_slice": matrix_slice,

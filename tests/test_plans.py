@@ -29,9 +29,10 @@ WHOLE_WINDOWS = {
     "grid_order", "group_starts", "sector_runs", "sector_runs_by_id",  # one row per skill
     "leaderboard_sort", "leaderboard_sort_index", "leaderboard_sort_name", "leaderboard_sort_acc",
     "leaderboard_sort_acc_asc", "leaderboard_sort_skill", "display_rank", "leaderboard_grid",  # one row per range
+    "facet_ranks", "facet_page",  # one row per 32,768 models
     "top_models", "matrix_slice",  # after a limit
 }
-SCALARS = {"check_shape", "check_binary", "check_alignment", "catalogue_counts", "skill_match_total", "filter_counts",
+SCALARS = {"check_shape", "check_binary", "check_alignment", "catalogue_counts", "skill_match_total", "filter_counts", "facet_counts",
            "accuracy_summary", "compare_suggestion", "unmatched_responses",
            "check_shape_dense", "check_binary_dense", "check_alignment_dense"}
 
