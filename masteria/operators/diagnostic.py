@@ -16,7 +16,7 @@ from masteria.functions.fixed import SMALL_MODEL_PARAMS
 from masteria.operators.responses import respondent_accuracy
 from masteria.plans import bitmaps as bm
 from masteria.plans.axis import ord_of
-from masteria.plans.joins import BROADCAST_ROWS, lookup_join
+from masteria.plans.joins import BROADCAST_ROWS, Together, lookup_join, stored_together
 from masteria.plans.storage import stored
 
 
@@ -37,9 +37,39 @@ def irt_probability(responses: DataFrame, items: DataFrame, models: DataFrame, *
                             "item_id", rows=rows)
     arrays = models.select(F.col("id").cast("bigint").alias("model_id"), "theta")
     joined = lookup_join(with_item, arrays, "model_id", rows=rows, counted=responses)
+    return joined.select("model_id", "item_id", "correct", _probability(nulls).alias("p"), *carry)
+
+
+def _probability(nulls: str) -> Column:
     theta = th.under(th.at("theta", F.col("skill_id")), nulls)
-    p = 1 / (1 + F.exp(-F.col("alpha") * (theta - F.col("beta"))))
-    return joined.select("model_id", "item_id", "correct", p.alias("p"), *carry)
+    return 1 / (1 + F.exp(-F.col("alpha") * (theta - F.col("beta"))))
+
+
+def stored_responses(responses: DataFrame, items: DataFrame, models: DataFrame, buckets: int | None = None) -> Together:
+    """Responses with what is known of their items, and the theta arrays, stored in the same buckets by model.
+
+    Items are looked up and models brought together once; predictions under other assumptions then move no response.
+    Responses whose item is unknown are left out, as in ``irt_probability``.
+    """
+    with_item = lookup_join(responses, items.select("item_id", "skill_id", "benchmark", "alpha", "beta"), "item_id")
+    arrays = models.select(F.col("id").cast("bigint").alias("model_id"), "theta")
+    return stored_together(with_item, arrays, "model_id", buckets)
+
+
+def stored_probability(tables: Together, *carry: str, nulls: str = "zero") -> DataFrame:
+    """``irt_probability`` from stored tables."""
+    return tables.joined().select("model_id", "item_id", "correct", _probability(nulls).alias("p"), *carry)
+
+
+def stored_prediction(tables: Together, *by: str, nulls: str = "zero") -> DataFrame:
+    """``benchmark_prediction`` from stored tables. What is shuffled has one row per model, piece and benchmark, and a
+    model that is not hot is one piece."""
+    rows = tables.joined().select("model_id", "_piece", "benchmark", *by, "correct", _probability(nulls).alias("p"))
+    pieces = rows.groupBy("model_id", "_piece", "benchmark", *by).agg(
+        F.sum("p").alias("p"), F.count("p").alias("np"), F.sum("correct").alias("correct"), F.count("correct").alias("nc"),
+        F.count(F.lit(1)).alias("n"))
+    return pieces.groupBy("model_id", "benchmark", *by).agg(
+        (F.sum("p") / F.sum("np")).alias("predicted"), (F.sum("correct") / F.sum("nc")).alias("actual"), F.sum("n").alias("n"))
 
 
 def unmatched_responses(responses: DataFrame, items: DataFrame, models: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from masteria.functions.fixed import GRID_BENCHMARKS
 from masteria.functions.text import contains, heading
 from masteria.plans.axis import ord_of
-from masteria.plans.joins import lookup_join
 from masteria.plans.ranking import add_rank
 
 
@@ -44,13 +43,12 @@ def skills_per_benchmark(skills: DataFrame) -> DataFrame:
 
 def grid_order(skills: DataFrame) -> DataFrame:
     """0-based position of each skill: by benchmark, then in input order."""
-    def key(benchmark: str) -> Column:  # never null, so that skills without a benchmark find their group
-        return F.coalesce(F.concat(F.lit("="), benchmark), F.lit("")).alias("_key")
-
-    groups = _groups(skills).select(key("primary_benchmark"), F.col("ord").alias("_group"))
+    groups = _groups(skills).select(F.col("primary_benchmark").alias("_own"), F.col("ord").alias("_group"))
     rows = skills.select(F.col("id").cast("bigint").alias("skill_id"), ord_of(skills).alias("ord"),
-                         F.col("primary_benchmark").alias("benchmark"), key("primary_benchmark"))
-    placed = add_rank(lookup_join(rows, groups, "_key").drop("_key"), [F.col("_group").asc(), F.col("ord").asc()])
+                         F.col("primary_benchmark").alias("benchmark"))
+    # One row per benchmark on the right side; its size is known when it has been counted, and decides how they meet.
+    grouped = rows.join(groups, F.col("benchmark").eqNullSafe(F.col("_own"))).drop("_own")
+    placed = add_rank(grouped, [F.col("_group").asc(), F.col("ord").asc()])
     return placed.select("skill_id", (F.col("rank") - 1).alias("pos"), "benchmark")
 
 

@@ -382,6 +382,8 @@ SELECTS |= {
     **{f"read_models_{form}": SELECTS["read_models"] for form in ("array", "wrapped", "parquet")},
     "read_skills_array": SELECTS["read_skills"],
     "read_cells": SELECTS["theta_cells"],
+    "stored_probability": SELECTS["irt_probability"],
+    "stored_prediction": SELECTS["benchmark_prediction"],
     "skill_products": """SELECT a.skill_id, b.skill_id AS other_id, sum(a.z * b.z) AS product
                          FROM skill_cells a JOIN skill_cells b ON a.model_id = b.model_id AND a.skill_id <= b.skill_id
                          GROUP BY ALL""",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masteria.plans.storage import stored
+from masteria.plans.storage import bucketed, stored
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
@@ -57,6 +59,13 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner",
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
     if is_small(dim, rows):
         return facts.join(F.broadcast(dim), key, how)
+    spread, repeated = split(facts, dim, key, counted)
+    return spread.join(repeated, [key, "_piece"], how).drop("_piece")
+
+
+def split(facts: DataFrame, dim: DataFrame, key: str, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_piece``: the rows of a hot key, and those without a key, are dealt out to several pieces by
+    a hash of the whole row, and ``dim`` has a row for each piece of its key."""
     source = facts if counted is None else counted
     counts = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("n")).scalar()
@@ -68,4 +77,26 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     spread = facts.join(hot, key, "left").withColumn("_piece", piece.cast("int"))
     repeated = (dim.where(F.col(key).isNotNull()).join(hot, key, "left")
                 .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))))
-    return spread.drop("_pieces").join(repeated.drop("_pieces"), [key, "_piece"], how).drop("_piece")
+    return spread.drop("_pieces"), repeated.drop("_pieces")
+
+
+class Together(NamedTuple):
+    """Two tables stored in the same buckets by a key and ``_piece``: they meet without a shuffle, as often as wanted."""
+    facts: DataFrame
+    dim: DataFrame
+    key: str
+
+    def joined(self, facts: DataFrame | None = None) -> DataFrame:
+        """Each fact with its row of ``dim``; facts without one are left out. ``facts`` may be some rows or columns of the facts.
+
+        A task builds a table of its bucket of ``dim``; facts are neither moved nor sorted.
+        """
+        return (self.facts if facts is None else facts).join(self.dim.hint("shuffle_hash"), [self.key, "_piece"])
+
+
+def stored_together(facts: DataFrame, dim: DataFrame, key: str, buckets: int | None = None) -> Together:
+    """Store facts and ``dim``, which holds each key at most once, in as many buckets as a shuffle has partitions. A hot key is
+    divided into pieces, which are dealt to buckets of their own; facts without a key meet nothing but are kept."""
+    buckets = buckets or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = split(facts, dim, key)
+    return Together(*[bucketed(side, "together", buckets, key, "_piece") for side in sides], key)

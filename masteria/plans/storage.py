@@ -54,6 +54,21 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """Write the frame once in buckets by ``keys``, one file each, and read it back.
+
+    Buckets are known to the catalogue of the session only, so the table has a name there; its files lie with the others.
+    """
+    spark = frame.sparkSession
+    path = new_path(spark, name)
+    table = f"masteria_{name}_{uuid.uuid4().hex}"
+    # The shuffle and the buckets hash alike, so each task writes one bucket.
+    frame.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    for tables in _recording:
+        tables.append(path)
+    return spark.table(table)
+
+
 _recording: list[list[str]] = []
 
 

@@ -444,6 +444,18 @@ def prediction_quality(spark, folder):
     return _round(di.prediction_quality(predictions, "heldout"), 6, "mae", "rmse", "corr")
 
 
+def _stored_responses(spark, folder):
+    return di.stored_responses(di.heldout_split(fx.responses(spark, folder)), fx.items(spark, folder), fx.models(spark, folder))
+
+
+def stored_probability(spark, folder):
+    return _round(di.stored_probability(_stored_responses(spark, folder)), 6, "p")
+
+
+def stored_prediction(spark, folder):
+    return _round(di.stored_prediction(_stored_responses(spark, folder), "heldout"), 6, "predicted", "actual")
+
+
 def weak_beats_strong(spark, folder):
     split = di.heldout_split(fx.responses(spark, folder))
     return _round(di.weak_beats_strong(split, fx.models(spark, folder), "heldout"), 9, "share")
@@ -558,6 +570,8 @@ QUERIES: dict[str, Query] = {
     "unmatched_responses": unmatched_responses,
     "benchmark_prediction": benchmark_prediction,
     "prediction_quality": prediction_quality,
+    "stored_probability": stored_probability,
+    "stored_prediction": stored_prediction,
     "weak_beats_strong": weak_beats_strong,
     "weak_beats_strong_by_mean": weak_beats_strong_by_mean,
     "weak_beats_strong_by_skill": weak_beats_strong_by_skill,
