@@ -160,6 +160,39 @@ def test_sketches_meet():
         assert same.sum() >= near_copies.AGREE and same.reshape(near_copies.BANDS, near_copies.BAND).all(axis=1).any()
 
 
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 8])
+def test_near_copies_meet_by_simhash(spark, bucket):
+    """Links of candidates come from fingerprints that agree on a band, or from common smallest values of few shingles."""
+    rng = np.random.default_rng(6)
+    rows, sizes = [], [1, 2, 4, 5, 9, 14, 16, 17, 20, 21, 40, 200]
+    for k in range(12 * len(sizes)):
+        n = sizes[k % len(sizes)]
+        for c in range(3):  # similar sets: at least four fifths in common
+            words = [f"k{k}x{i}" for i in range(n + 4 + (c if n >= 8 else 0) * (n // 8) // 2)]
+            rows.append((10 * k + c, " ".join(words)))
+    rows += [(5000 + k, " ".join(f"hot{i}" for i in range(60)) + f" end{k}") for k in range(40)]
+    sketches = [r for r in near_copies._sketches((i, i, t) for i, t in rows)]
+    same = spark.createDataFrame([(r[0], r[4], r[5], r[6]) for r in sketches], "node long, least array<long>, banded boolean, bits binary").repartition(3)
+    links = {(r["a"], r["b"]) for r in near_copies.candidates(same, bucket).collect()}
+    bits = {r[0]: np.unpackbits(np.frombuffer(r[6], dtype=np.uint8)) for r in sketches}
+    assert all((bits[a][:256] != bits[b][:256]).sum() <= near_copies.WITHIN for a, b in links)
+    sets = {i: _set(t) for i, t in rows}
+    nodes = sorted(sets)
+    label = {i: i for i in nodes}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        label[max(top(a), top(b))] = min(top(a), top(b))
+    for i in nodes:
+        for j in nodes:
+            if i < j and _similar(sets[i], sets[j]):
+                assert top(i) == top(j)
+
+
 # Quality --------------------------------------------------------------------------------------------
 
 def test_base_statistics(spark, given, odd_rows):
