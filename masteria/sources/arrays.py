@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from masteria.plans.storage import stored
 
 END = "}"
+SPACE = " \t\n\x0b\f\r"
 #: Chunks that are looked at to tell the form of the data.
 PEEK = 200
 _AT = ("path", "block", "seq")
@@ -43,29 +44,46 @@ def first_line(spark: SparkSession, path: str) -> tuple[str | None, bool]:
 
 def _depth(text: Column) -> Column:
     """How many more brackets are opened than closed."""
-    return F.char_length(F.translate(text, "]}", "")) - F.char_length(F.translate(text, "[{", ""))
+    left = {c: F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in "[{]}"}
+    return left["]"] + left["}"] - left["["] - left["{"]
 
 
-def _effects(text: Column, name: str) -> list[Column]:
-    """Whether a text changes sides, and its depth if it starts outside or inside a string."""
-    parts = F.split(F.regexp_replace(text, r"(?s)\\.", ""), '"')
-    side = lambda odd: _depth(F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), ""))
-    return [((F.size(parts) - 1) % 2).alias(f"{name}turns"), side(0).alias(f"{name}outside"), side(1).alias(f"{name}inside")]
+def _with_effects(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Whether a text changes sides, and its depth if it starts outside or inside a string.
 
+    Literal replacements, each over the bytes once: patterns over whole texts took most of the time of a read. Of a row of
+    backslashes pairs go first, so what is left of it escapes the next character.
+    """
+    plain = F.col(text)
+    for escaped in ("\\\\", '\\"', "\\[", "\\]", "\\{"):
+        plain = F.replace(plain, F.lit(escaped), F.lit(""))
+    rows = rows.withColumn("plain", plain).withColumn("parts", F.split("plain", '"'))
+    # Mostly the texts lie on one side, and the other is short: only that which lies outside is put together.
+    outside = F.array_join(F.filter("parts", lambda _, i: i % 2 == 0), "")
+    rows = rows.withColumns({f"{name}turns": (F.size("parts") - 1) % 2, "all": _depth(F.col("plain")), "even": outside})
+    rows = rows.withColumn(f"{name}outside", _depth(F.col("even")))
+    return rows.withColumn(f"{name}inside", F.col("all") - F.col(f"{name}outside")).drop("plain", "parts", "all", "even")
 
-def _chunks(spark: SparkSession, path: str, opening: str) -> DataFrame:
+
+def _chunks(spark: SparkSession, path: str, opening: str, wrapper: str | None) -> DataFrame:
     """The chunks with their places and effects; ``opening`` is what comes before the first element."""
-    value = F.col("value")
-    before = F.regexp_extract(value, rf"(?s)^(.*?){opening}", 1)
+    value, solid = F.col("value"), F.col("solid")
     rows = _text(spark, path).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("seq"))
+    rows = _with_effects(rows.withColumn("solid", F.ltrim(value, F.lit(SPACE))), "value", "")
+    # Only a few chunks can open the array; no other is searched.
+    may = value.contains(f'"{wrapper}"') if wrapper else solid.startswith("[")
+    rows = rows.withColumn("before", F.when(may, F.regexp_extract(value, rf"(?s)^(.*?){opening}", 1)).otherwise(""))
+    rows = _with_effects(rows, "before", "before_")
+    follows = F.ltrim(F.substr(solid, F.lit(2)), F.lit(SPACE)).startswith("{")
+    lead = F.when(solid.startswith("]"), "]").when(solid.startswith("{"), "{").when(solid.startswith(",") & follows, ",").otherwise("")
     return stored(rows.select(
-        *_AT, "value", "size", F.octet_length("value").cast("long").alias("bytes"), *_effects(value, ""),
-        value.rlike(opening).alias("opens"), *_effects(before, "before_"),
-        F.regexp_extract(value, rf"(?s)^.*?{opening}\s*([{{\]]?)", 1).alias("first"),
-        value.rlike(rf"{opening}\s*$").alias("bare"), F.regexp_extract(value, r"^\s*(\]|,\s*\{|\{)", 1).substr(1, 1).alias("lead"),
-        (F.regexp_replace(value, r"\s", "") == "").alias("blank")), "chunks")
+        *_AT, "value", "size", F.octet_length("value").cast("long").alias("bytes"), "turns", "outside", "inside",
+        F.when(may, value.rlike(opening)).otherwise(False).alias("opens"), "before_turns", "before_outside", "before_inside",
+        F.when(may, F.regexp_extract(value, rf"(?s)^.*?{opening}\s*([{{\]]?)", 1)).otherwise("").alias("first"),
+        F.when(may, value.rlike(rf"{opening}\s*$")).otherwise(False).alias("bare"), lead.alias("lead"),
+        (solid == "").alias("blank")), "chunks")
 
 
 def _placed(chunks: DataFrame, closed: bool) -> DataFrame:
@@ -103,7 +121,7 @@ def elements(spark: SparkSession, path: str, wrapper: str | None) -> DataFrame:
     """The texts of the elements: ``ord, text``."""
     base = 2 if wrapper else 1
     opening = rf'"{re.escape(wrapper)}"\s*:\s*\[' if wrapper else r"^\s*\["
-    chunks = _chunks(spark, path, opening if wrapper else r"\A\s*\[")
+    chunks = _chunks(spark, path, opening if wrapper else r"\A\s*\[", wrapper)
     at = F.struct(*_AT)
     rows = stored(_placed(chunks, bool(wrapper)).withColumn("at", at), "states")
     opens = F.col("opens") & ~F.col("in_string") & (F.col("before_turns") == 0) & (F.col("depth") + F.col("before_outside") == base - 1)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,26 @@ def test_array_over_several_files(spark, folder):
 def test_other_texts_are_refused(spark, folder, text):
     with pytest.raises(Exception, match="one array|no array|MALFORMED|malformed"):
         rd.read_models(spark, _write(folder, "odd", text), form="array" if text[0] == "[" else "wrapped").collect()
+
+
+def test_effects_need_no_patterns(spark):
+    """Sides and depths of odd texts equal those of a plain scanner, by literal replacements only."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice('\\\\\\""[]{n ,é') for _ in range(rng.randrange(14))) for _ in range(3000)] + [""]
+
+    def scan(text, inside):
+        depth, at, start = 0, 0, inside
+        while at < len(text):
+            if text[at] == "\\":
+                at += 1
+            elif text[at] == '"':
+                inside = not inside
+            elif not inside:
+                depth += (text[at] in "[{") - (text[at] in "]}")
+            at += 1
+        return depth, int(inside != start)
+
+    rows = arrays._with_effects(spark.createDataFrame([(t,) for t in texts], "value string"), "value", "")
+    assert "regexp" not in rows._jdf.queryExecution().executedPlan().toString().lower()
+    for r in rows.collect():
+        assert (r["outside"], r["turns"]) == scan(r["value"], False) and r["inside"] == scan(r["value"], True)[0]
