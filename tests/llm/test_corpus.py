@@ -193,6 +193,24 @@ def test_near_copies_meet_by_simhash(spark, bucket):
                 assert top(i) == top(j)
 
 
+@pytest.mark.parametrize("size", [2, 40, near_copies.SHIFTED, 300])
+def test_buckets_give_fewer_links_than_rows(size):
+    """Copies that meet in many buckets are joined by a forest, as comparing all pairs joins them."""
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-(1 << 63), 1 << 63, (4, near_copies.COMPARED), dtype=np.int64)
+    words = centres[rng.integers(0, 4, size)] ^ (rng.integers(0, 1 << 63, (size, near_copies.COMPARED)) & rng.integers(0, 1 << 63, (size, near_copies.COMPARED))
+                                                 & rng.integers(0, 1 << 63, (size, near_copies.COMPARED)))
+    rows = [(key, 10 * k, *words[k].tolist()) for key in range(20) for k in rng.permutation(size).tolist()]
+    batch = near_copies.pa.RecordBatch.from_arrays([near_copies.pa.array(c) for c in zip(*rows)], schema=near_copies._KEYED)
+    out = [b for b in near_copies._meet(near_copies.BUCKET)(iter([batch.slice(0, 7), batch.slice(7)]))]
+    links = [(a // 10, b // 10) for o in out for a, b in zip(o.column("a").to_pylist(), o.column("b").to_pylist())]
+    bits = np.unpackbits(words.view(np.uint8), axis=1)
+    near = lambda a, b: (bits[a] != bits[b]).sum() <= near_copies.WITHIN
+    label = brute.components(list(range(size)), near)
+    assert len(links) == size - len(set(label)) and all(near(a, b) for a, b in links)
+    assert brute.components(list(range(size)), lambda a, b: (a, b) in links or (b, a) in links) == label
+
+
 # Quality --------------------------------------------------------------------------------------------
 
 def test_base_statistics(spark, given, odd_rows):
