@@ -211,6 +211,64 @@ def test_buckets_give_fewer_links_than_rows(size):
     assert brute.components(list(range(size)), lambda a, b: (a, b) in links or (b, a) in links) == label
 
 
+def test_large_buckets_are_not_searched_by_all_pairs_of_chunks(spark, monkeypatch):
+    """Rows that are searched grow with the copies, not with their square; no copy is lost, nor a row that no chunk joins."""
+    meet, read = near_copies._meet, []
+
+    def counting(bound):
+        run, total = meet(bound), spark.sparkContext.accumulator(0)
+        read.append(total)
+
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    total.add(batch.num_rows)
+                    yield batch
+
+            return run(each())
+
+        return counted
+
+    monkeypatch.setattr(near_copies, "_meet", counting)
+    rng, searched = np.random.default_rng(8), {}
+    # A copy differs from the centre in 10 to 19 bits; six strangers share its first band only.
+    centre = rng.integers(0, 2, near_copies.BANDS * near_copies.BAND, dtype=np.uint8)
+    for n in (150, 600):
+        rows = []
+        for k in range(n + 6):
+            bits = rng.integers(0, 2, len(centre), dtype=np.uint8) if k >= n else centre.copy()
+            if k < n:
+                bits[rng.choice(np.arange(12, 256), rng.integers(10, 20), replace=False)] ^= 1
+            bits[:12] = centre[:12]
+            rows.append((k, [], True, np.packbits(bits).tobytes()))
+        same = spark.createDataFrame(rows, "node long, least array<long>, banded boolean, bits binary").repartition(3)
+        read.clear()
+        links = near_copies.candidates(same, 64).distinct().collect()
+        searched[n] = sum(total.value for total in read[1:])
+        roots = {r["node"]: r["root"] for r in graph.stars(spark.createDataFrame([(r["a"], r["b"]) for r in links], "a long, b long")).collect()}
+        assert {k for k, root in roots.items() if root == 0} | {0} == set(range(n)) and not set(roots) & set(range(n, n + 6))
+    assert 0 < searched[600] < 6 * searched[150]
+
+
+def test_large_buckets_join_what_all_pairs_join(spark):
+    """Several components in one large bucket, among them chains that only neighbours link."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for length in (60, 40, 25, 1, 1, 1, 9):
+        bits = rng.integers(0, 2, near_copies.BANDS * near_copies.BAND, dtype=np.uint8)
+        for _ in range(length):
+            bits[rng.choice(np.arange(12, 256), 50, replace=False)] ^= 1
+            bits[:12], bits[256:] = 0, rng.integers(0, 2, len(bits) - 256)
+            rows.append((len(rows), [], True, np.packbits(bits).tobytes()))
+    words = np.stack([np.frombuffer(r[3], dtype=np.uint8)[:32] for r in rows])
+    label = brute.components(list(range(len(rows))), lambda a, b: np.bitwise_count(words[a] ^ words[b]).sum() <= near_copies.WITHIN)
+    assert 7 <= len(set(label)) < 20
+    same = spark.createDataFrame(rows, "node long, least array<long>, banded boolean, bits binary").repartition(3)
+    for bucket in (8, 40, near_copies.BUCKET):
+        roots = {r["node"]: r["root"] for r in graph.stars(near_copies.candidates(same, bucket)).collect()}
+        assert [roots.get(k, k) for k in range(len(rows))] == [label.index(x) for x in label]
+
+
 # Quality --------------------------------------------------------------------------------------------
 
 def test_base_statistics(spark, given, odd_rows):
