@@ -87,9 +87,9 @@ def theta_skills(spark: SparkSession, folder: str) -> DataFrame:
             .select(F.col("id").cast("bigint").alias("id")).distinct())
 
 
-def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+def catalogue(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
     """One catalogue entry per document: its text is the label, translated for some languages,
-    and the description repeats the label, repeats the heading or differs."""
+    and the description repeats the label, repeats the heading or differs. ``documents`` may name the table in another order."""
     doc, text, lang = F.col("doc_id"), F.col("text"), F.col("lang")
     source = F.col("source")
     benchmark = (F.when(source == "src3", "MATH").when(source == "src1", "BBH").when(source == "src4", "GPQA")
@@ -100,13 +100,14 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     description = (F.when(doc % 3 == 0, F.concat(F.lit(" \t"), F.replace(text, F.lit(" "), F.lit("  \n")), F.lit("\n ")))
                    .when(doc % 3 == 1, F.concat(heading, F.lit("…")))
                    .otherwise(F.concat(F.lit("About "), text)))
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents") if documents is None else documents
+    return documents.select(
         doc.alias("id"), text.alias("label"), english.alias("label_english"),
         F.when(lang != "en", lang).alias("language"), description.alias("description"),
         benchmark.alias("primary_benchmark"), F.floor(F.col("n_chars") / 100).cast("bigint").alias("n_items"))
 
 
-def catalogue_with_examples(spark: SparkSession, folder: str) -> DataFrame:
+def catalogue_with_examples(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
     """Catalogue entries with nested example items: the paragraphs of the document, with ids that fall
     along the list; Spanish ones have an empty list."""
     spanish = F.coalesce(F.col("language"), F.lit("")) == "es"
@@ -115,7 +116,7 @@ def catalogue_with_examples(spark: SparkSession, folder: str) -> DataFrame:
         (F.size(F.split("label", "\n")) - i).cast("bigint").alias("item_idx"), F.col("primary_benchmark").alias("benchmark"),
         F.lit(None).cast("string").alias("subtask"), F.lit(None).cast("string").alias("primary_skill"),
         t.alias("text")))
-    return catalogue(spark, folder).withColumn("example_items", examples)
+    return catalogue(spark, folder, documents).withColumn("example_items", examples)
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

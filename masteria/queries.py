@@ -49,24 +49,25 @@ def _seen(models):
 
 
 def _as_array(frame, path, wrapper=None):
-    """Write a table as one JSON array: an element per line, by id, in as many files as there are tasks."""
-    key, json = F.col("id"), F.to_json(F.struct(*frame.columns))
-    first = frame.agg(F.min("id").alias("id")).scalar()
-    lines = frame.select(F.lit(1).alias("place"), key.alias("key"), F.concat(F.when(key == first, "").otherwise(","), json).alias("value"))
-    ends = frame.sparkSession.createDataFrame(
-        [(0, None, f'{{"{wrapper}": [' if wrapper else "["), (2, None, "]}" if wrapper else "]")], "place int, key long, value string")
-    lines.unionByName(ends).orderBy("place", "key").select("value").write.text(path)
+    """Write a table that is in the order of ``id`` as one JSON array: an element per line, in as many compressed files as there are tasks."""
+    json = F.to_json(F.struct(*frame.columns))
+    first = frame.agg(F.when(F.count_if(F.col("id").isNull()) == 0, F.min("id")).alias("id")).scalar()
+    lines = frame.select(F.concat(F.when(F.col("id").eqNullSafe(first), "").otherwise(","), json).alias("value"))
+    opening, closing = (frame.sparkSession.createDataFrame([(end,)], "value string").coalesce(1)
+                        for end in (f'{{"{wrapper}": [' if wrapper else "[", "]}" if wrapper else "]"))
+    # The partitions of a union follow each other, and so do its files.
+    opening.union(lines).union(closing).write.option("compression", "gzip").text(path)
 
 
 def read_models_array(spark, folder):
     path = new_path(spark, "models")
-    _as_array(fx.models(spark, folder), path)
+    _as_array(fx.models(spark, folder).orderBy("id"), path)
     return _seen(rd.read_models(spark, path))
 
 
 def read_models_wrapped(spark, folder):
     path = new_path(spark, "models")
-    _as_array(fx.models(spark, folder), path, "models")
+    _as_array(fx.models(spark, folder).orderBy("id"), path, "models")
     return _seen(rd.read_models(spark, path))
 
 
@@ -84,7 +85,9 @@ def read_cells(spark, folder):
 
 def read_skills_array(spark, folder):
     path = new_path(spark, "skills")
-    _as_array(fx.catalogue_with_examples(spark, folder), path)
+    # Sorted before each text is repeated several times.
+    documents = fx.table(spark, folder, "documents").orderBy("doc_id")
+    _as_array(fx.catalogue_with_examples(spark, folder, documents), path)
     return _listed(rd.read_skills(spark, path))
 
 

@@ -181,3 +181,59 @@ def test_effects_need_no_patterns(spark):
     assert "regexp" not in rows._jdf.queryExecution().executedPlan().toString().lower()
     for r in rows.collect():
         assert (r["outside"], r["turns"]) == scan(r["value"], False) and r["inside"] == scan(r["value"], True)[0]
+
+
+def test_effects_of_bytes():
+    """Escapes, sides and depths of odd texts, as a plain scanner has them; the braces that end chunks are counted."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice('\\\\\\""[]{}n ,é') for _ in range(rng.randrange(16)))
+        want = []
+        for inside in (False, True):
+            depth, at, side = 0, 0, inside
+            while at < len(text):
+                if text[at] == "\\" and text[at + 1:at + 2] != "}":
+                    at += 1
+                elif text[at] == '"':
+                    side = not side
+                elif not side:
+                    depth += (text[at] in "[{") - (text[at] in "]}")
+                at += 1
+            want += [depth, int(side != inside)]
+        assert arrays.effects(text.encode()) == (want[1], want[0], want[2])
+
+
+@pytest.mark.parametrize("stretch", [1, 40, 700, 1 << 22])
+@pytest.mark.parametrize("wrapper", [None, "skills"])
+def test_elements_over_many_stretches(spark, folder, monkeypatch, stretch, wrapper):
+    """Wherever rows of chunks end, elements are whole and numbered; compressed files may end anywhere, with a brace or not."""
+    import gzip
+    import os
+
+    monkeypatch.setattr(arrays, "STRETCH", stretch)
+    trees = [_tree(k) for k in range(40)]
+    text = json.dumps({"meta": [{"skills": 1}], "skills": trees} if wrapper else trees, ensure_ascii=False).encode()
+    os.mkdir(f"{folder}/packed")
+    ends = [0, text.index(b"[{") + 1, text.index(b"}", 900) + 1, text.index(b"}", 1500) + 3, text.rindex(b"}", 0, 3000), len(text)]
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        with gzip.open(f"{folder}/packed/{k}.json.gz", "wb") as f:
+            f.write(text[a:b])
+    read = rd.read_skills(spark, f"{folder}/packed", form="wrapped" if wrapper else "array")
+    assert {r["ord"]: (r["id"], r["label"], len(r["example_items"])) for r in read.collect()} == {
+        k: (t["id"], t["label"], len(t["example_items"])) for k, t in enumerate(trees)}
+
+
+def test_arrays_take_little_disk(spark):
+    """What is written and stored for an array is less than its text, and texts are not shuffled again by the reader."""
+    import os
+
+    from masteria import queries
+    from masteria.plans import storage
+
+    folder, seen = "/root/testdata/sf0.01", storage._folder(spark).removeprefix("file:")
+    before = set(os.listdir(seen)) if os.path.isdir(seen) else set()
+    read = queries.read_skills_array(spark, folder)
+    assert read.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    size = sum(os.path.getsize(f"{top}/{name}") for one in set(os.listdir(seen)) - before for top, _, names in os.walk(f"{seen}/{one}") for name in names)
+    text = queries.fx.catalogue_with_examples(spark, folder).select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first().n
+    assert size < text / 2
