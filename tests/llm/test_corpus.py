@@ -193,6 +193,50 @@ def test_near_copies_meet_by_simhash(spark, bucket):
                 assert top(i) == top(j)
 
 
+def test_near_copies_that_fingerprints_miss(spark):
+    """Two texts at exactly 0.8 whose fingerprints have no band in common are joined all the same."""
+    words = [f"m31747x{k}" for k in range(29)]
+    texts = [" ".join(words[:24]), " ".join(words)]
+    a, b = (near_copies.sketch(near_copies.shingles(t)) for t in texts)
+    assert _similar(*map(_set, texts)) and not (a == b).reshape(near_copies.BANDS, near_copies.BAND).all(axis=1).any()
+    left = corpus_pipeline.near_copies(spark, _docs(spark, list(enumerate(texts))), FOLDER)
+    assert [r["doc_id"] for r in left.collect()] == [0]
+
+
+@pytest.mark.parametrize("blind", ["no candidates", "every other candidate"])
+def test_missed_near_copies_are_found_without_chance(spark, given, odd_rows, monkeypatch, blind):
+    """Whatever fingerprints miss, the stage joins what all pairs join, among texts with common passages too."""
+    rng = random.Random(11)
+    rows = [(i, t) for i, t in odd_rows if len(t or "") < 1000] + [(i + 1000, t) for i, t in given[:60]]
+    passages = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(3)]
+    for k in range(14):
+        words = [f"q{k}x{j}" for j in range(rng.choice((9, 14, 24, 90)))]
+        for c in range(5):
+            other = list(words)
+            if c:  # a changed word takes away up to five shingles
+                other[rng.choice((0, -1)) if len(other) < 90 else rng.randrange(90)] = f"other{c}"
+            rows.append((3000 + 10 * k + c, " ".join([*passages[:k % 3], *other, *[f"end{j}" for j in range(c % 3)]])))
+    found = near_copies.candidates
+    monkeypatch.setattr(near_copies, "candidates", lambda same, bucket: found(same, bucket).where(F.lit(False) if blind[0] == "n" else F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0))
+    smallest = brute.jaccard_components([(i, t or "") for i, t in rows if i is not None])
+    left = near_copies.without_near_copies(_docs(spark, [r for r in rows if r[0] is not None]).repartition(3), chunk=near_copies.CHUNK if blind[0] == "n" else 3)
+    assert len(set(smallest.values())) < len(smallest) - 20
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(smallest.values()))
+
+
+def test_keys_that_occur_again():
+    """Rows whose key occurs again are given out once, wherever batches end."""
+    import pyarrow as pa
+
+    keys = np.repeat(np.arange(9), [1, 5, 1, 1, 2, 7, 1, 2, 1])
+    nodes = np.arange(len(keys)) + 100
+    want = [(int(k), int(n)) for k, n in zip(keys, nodes) if (keys == k).sum() > 1]
+    for size in (1, 2, 3, 5, 50):
+        batches = [pa.record_batch({"key": keys[k:k + size], "node": nodes[k:k + size], "n": nodes[k:k + size]}) for k in range(0, len(keys), size)]
+        got = [(r["key"], r["node"]) for b in near_copies._shared(iter(batches)) for r in b.to_pylist()]
+        assert got == want
+
+
 @pytest.mark.parametrize("size", [2, 40, near_copies.SHIFTED, 300])
 def test_buckets_give_fewer_links_than_rows(size):
     """Copies that meet in many buckets are joined by a forest, as comparing all pairs joins them."""
